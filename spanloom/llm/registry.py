@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, exact_dedup, line_dedup, packing, simhash, substring_dedup
+from . import byte_bpe, embedding_dedup, exact_dedup, line_dedup, packing, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_toxicity": op5_toxicity, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
