@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, exact_dedup, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import byte_bpe, chat, embedding_dedup, exact_dedup, line_dedup, packing, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, -1, whose texts hold control strings."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(*chat.prefix_tree(given.unionByName(more)))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,8 +60,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_toxicity": op5_toxicity, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_toxicity": op5_toxicity, "op6_chat_prefix_tree": op6_chat_prefix_tree, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op6_chat_prefix_tree": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
