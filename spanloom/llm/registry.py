@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embedding_dedup, exact_dedup, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import byte_bpe, chat, embedding_dedup, exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +55,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), 40)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_toxicity": op5_toxicity, "op6_chat_prefix_tree": op6_chat_prefix_tree, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_toxicity": op5_toxicity, "op6_chat_prefix_tree": op6_chat_prefix_tree, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
