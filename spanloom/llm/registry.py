@@ -18,8 +18,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", substring_dedup.words_sha256("text").alias("kept_sha256"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -10,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import WORD, release_shuffles, row_id, stage, text_of
 from .simhash import _words
@@ -23,6 +26,10 @@ _RUN = 64
 _CHUNK = 1 << 20
 #: Packed strings that a task remembers in order to fold copies; beyond that it starts anew.
 _REMEMBERED = 100_000
+#: Words of bytes that no UTF-8 word holds stand for frequent words: 7 of one byte, 2560 of two, 65536 of three.
+_CODES = [bytes([a]) for a in (9, 10, 11, 12, 13, 0xC0, 0xC1)]
+_CODES += [bytes([a, b]) for a in range(0xF5, 0xFF) for b in range(256)] + [bytes([0xFF, a, b]) for a in range(256) for b in range(256)]
+_CODED = re.compile(rb"[\x09-\x0D\xC0\xC1]|[\xF5-\xFE].|\xFF..|[^\x20]+\x20", re.S)
 #: Every so many documents are looked at to find crowded minimisers.
 _SURVEYED = 16
 #: A minimiser is crowded from so many packed strings on; of the crowded ones no more than this many exist by count.
@@ -89,7 +96,7 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, window: int):
         index = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         heads, sizes = np.repeat(heads, parts) + index * _RUN, np.minimum(np.repeat(sizes, parts) - index * _RUN, _RUN)
     at = first[heads]
-    return joined, begins, lengths, text[at], at, at - before[text[at]], sizes, least[heads].view(np.int64)
+    return joined, text[at], at, at - before[text[at]], sizes, least[heads].view(np.int64)
 
 
 def _texts(batch):
@@ -106,14 +113,17 @@ def _texts(batch):
 
 
 def _survey(batches, window: int):
+    """Counts of minimisers (no _word) and of words (no _key)."""
+    kinds = [("_key", pa.int64()), ("_word", pa.binary()), ("_n", pa.int64())]
     for batch in batches:
         for buf, offsets, _, _ in _texts(batch):
-            if found := _runs(buf, offsets, window):
-                keys, counts = np.unique(found[-1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["_key", "_n"])
+            words = Counter(w for w in _words(buf, offsets)[0].tobytes().split(b" ")[:-1] if len(w) <= 32)
+            keys, counts = np.unique(found[-1], return_counts=True) if (found := _runs(buf, offsets, window)) else ([], [])
+            columns = [[*keys, *[None] * len(words)], [*[None] * len(keys), *words], [*counts, *words.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], [n for n, _ in kinds])
 
 
-def _pack(batches, window: int, crowded):
+def _pack(batches, window: int, crowded, codes: dict[bytes, bytes]):
     """Rows for the buckets, with _pack; and rows already known to be repeated, with _to (the word after the last) and no _pack."""
     crowded = np.asarray(crowded, np.int64)
     seen: dict[bytes, tuple] = {}
@@ -123,7 +133,7 @@ def _pack(batches, window: int, crowded):
             found = _runs(buf, offsets, window)
             if not found:
                 continue
-            joined, begins, lengths, text, head, at, sizes, keys = found
+            joined, text, head, at, sizes, keys = found
             alone = np.isin(keys, crowded) if len(crowded) else np.zeros(len(keys), bool)
             if alone.any():  # crowded: each window travels by itself, by its own hash
                 repeat = np.where(alone, sizes, 1)
@@ -131,10 +141,11 @@ def _pack(batches, window: int, crowded):
                 text, keys, alone = np.repeat(text, repeat), np.repeat(keys, repeat), np.repeat(alone, repeat)
                 head, at = np.repeat(head, repeat) + index, np.repeat(at, repeat) + index
                 sizes = np.where(alone, 1, np.repeat(sizes, repeat))
-            last = head + sizes + window - 2
-            data, out = joined.tobytes(), []
+            coded = [codes.get(w) or w + b" " for w in joined.tobytes().split(b" ")[:-1]]
+            places = np.cumsum([0, *map(len, coded)])
+            data, out = b"".join(coded), []
             rows = zip(
-                begins[head].tolist(), (begins[last] + lengths[last]).tolist(), ids[a + text].tolist(), row_keys[a + text].tolist(), at.tolist(), sizes.tolist(), keys.tolist(), alone.tolist()
+                places[head].tolist(), places[head + sizes + window - 1].tolist(), ids[a + text].tolist(), row_keys[a + text].tolist(), at.tolist(), sizes.tolist(), keys.tolist(), alone.tolist()
             )
             for b, e, i, r, p, n, key, own in rows:
                 pack, place = data[b:e], (i, p, r)
@@ -168,14 +179,10 @@ def _count(batches, window: int):
                 continue
             if key != now:
                 now, seen = key, {}
-            ends, e = [0], pack.find(b" ")
-            while e >= 0:
-                ends.append(e + 1)
-                e = pack.find(b" ", e + 1)
-            ends.append(len(pack) + 1)
+            ends = [0, *(m.end() for m in _CODED.finditer(pack))]
             first = -1
             for k in range(len(ends) - window):
-                w = pack[ends[k] : ends[k + window] - 1]
+                w = pack[ends[k] : ends[k + window]]
                 place = (i, at + k)
                 if seen.setdefault(w, place) < place:
                     if first < 0:
@@ -198,35 +205,50 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A task folds packed strings that it has sent before, keeping the earliest. Minimisers with more
     than crowded_from packed strings (estimated from every 16th document, which plans the work and has no
     influence on the result) send each window by the hash of the window itself, so that a phrase that a
-    third of the corpus holds is spread over all buckets; their number is bounded by raising the limit.
+    third of the corpus holds is spread over all buckets; their number is bounded by raising the limit. The same
+    documents give the words that packed strings write as codes of one to three bytes. The coding can be undone
+    word by word, so equal codes are equal words.
     """
     rows = docs.select(row_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_row"), text_of(text_col).alias("_text"))
-    surveyed = rows.filter(F.pmod(F.xxhash64("_row", "_id"), F.lit(_SURVEYED)) == 0).mapInArrow(partial(_survey, window=window), "_key long, _n long")
-    counts = stage(surveyed.groupBy("_key").agg(F.sum("_n").alias("_n")))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    surveyed = rows.filter(F.pmod(F.xxhash64("_row", "_id"), F.lit(_SURVEYED)) == 0)
+    counts = stage(surveyed.mapInArrow(partial(_survey, window=window), "_key long, _word binary, _n long").groupBy("_key", "_word").agg(F.sum("_n").alias("_n")))
+    total = counts.filter("_key is not null").agg(F.sum("_n")).first()[0] or 0
     limit = max(crowded_from / _SURVEYED, total / _MOST_CROWDED)
-    crowded = [r[0] for r in counts.filter(F.col("_n") > limit).select("_key").toLocalIterator()]
-    packed = rows.mapInArrow(partial(_pack, window=window, crowded=crowded), _PACKED)
+    crowded = [r[0] for r in counts.filter((F.col("_key").isNotNull()) & (F.col("_n") > limit)).select("_key").toLocalIterator()]
+    often = counts.filter("_word is not null and _n > 1").orderBy(F.col("_n").desc(), "_word").limit(len(_CODES)).select("_word").collect()
+    codes = {bytes(r[0]): c for r, c in zip(often, _CODES) if len(c) <= len(r[0])}
+    packed = rows.mapInArrow(partial(_pack, window=window, crowded=crowded, codes=codes), _PACKED)
     in_buckets = packed.repartition("_key").sortWithinPartitions("_key", "_id", "_at")
     return in_buckets.mapInArrow(partial(_count, window=window), "_id long, _row long, _at int, _to int")
 
 
-@F.pandas_udf(StringType())
-def _cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("words", LongType()), StructField("removed", LongType())]))
+def _cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """The text without the spans, or null where nothing goes; how many words it had, and how many go."""
+
     def one(text, begins, stops):
         if text is None:
-            return None
+            return None, 0, 0
+        if begins is None:
+            return None, len(text.encode().split()), 0
         at = [m.start() for m in WORD.finditer(text)] + [len(text)]
-        kept, done = [], 0
+        kept, done, gone = [], 0, 0
         for a, b in sorted(zip(begins.tolist(), stops.tolist())):
             if b > done:
                 if a > done:
                     kept.append(text[(at[done] if done else 0) : at[a]])
+                gone += b - max(a, done)
                 done = b
         kept.append(text[at[done] :])
-        return "".join(kept)
+        return "".join(kept), len(at) - 1, gone
+
+    return pd.DataFrame([one(*x) for x in zip(texts, starts, ends)], columns=["text", "words", "removed"])
 
-    return pd.Series([one(*x) for x in zip(texts, starts, ends)], dtype=object)
+
+@F.pandas_udf(StringType())
+def words_sha256(texts: pd.Series) -> pd.Series:
+    """SHA-256, in lower-case hex, of the words joined by one blank; null has none."""
+    return pd.Series([hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in texts], dtype=object)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, crowded_from: int = CROWDED) -> DataFrame:
@@ -247,13 +269,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = spans.groupBy("_id", "_row").agg(F.collect_list(F.struct("_at", "_to")).alias("_s")).select("_id", "_row", "_s._at", "_s._to")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_row"))
     whole = F.col(f"_doc.`{text_col}`")
-    both = rows.join(lists, ["_id", "_row"], "left").withColumn("_new", _cut(F.when(F.col("_at").isNotNull(), whole), "_at", "_to"))
-    words = lambda c: F.coalesce(F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    out = both.select(
-        "_doc",
-        F.when(F.col("_at").isNull(), whole).otherwise(F.col("_new")).alias("_text"),
-        words(whole).alias("n_words"),
-        F.when(F.col("_at").isNull(), F.lit(0).cast("long")).otherwise(words(whole) - words(F.col("_new"))).alias("n_removed"),
-    )
+    both = rows.join(lists, ["_id", "_row"], "left").withColumn("_cut", _cut(whole, "_at", "_to"))
+    out = both.select("_doc", F.coalesce("_cut.text", whole).alias("_text"), F.col("_cut.words").alias("n_words"), F.col("_cut.removed").alias("n_removed"))
     added = ("n_words", "n_removed")
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
