@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import byte_bpe, chat, embedding_dedup, exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup, toxicity
 
 
@@ -58,12 +60,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_toxicity": op5_toxicity, "op6_chat_prefix_tree": op6_chat_prefix_tree, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_toxicity": op5_toxicity, "op6_chat_prefix_tree": op6_chat_prefix_tree, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
