@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +64,9 @@ def depth_of_inheritance(symbols: DataFrame, refs: DataFrame, relations: list[st
     return best.groupBy("symbol_id").agg(F.when(F.bool_or("cycle"), 0).otherwise(F.max("n")).alias("dit"))
 
 
-def _parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    root: dict = {}
+def _parts(batches):
+    """Rows sorted by owner: (owner, number of connected parts)."""
+    owner, root = None, {}
 
     def find(x):
         while root.setdefault(x, x) != x:
@@ -73,9 +74,20 @@ def _parts(pdf: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    for a, b in zip(pdf["a"], pdf["b"]):
-        root[find(b)] = find(a)
-    return pd.DataFrame({"owner": [pdf["owner"].iloc[0]], "lcom4": [len({find(x) for x in list(root)})]})
+    def told(found):
+        return pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["owner", "lcom4"])
+
+    for batch in batches:
+        out = []
+        for o, a, b in zip(*(batch.column(c).to_pylist() for c in ("owner", "a", "b"))):
+            if o != owner:
+                if root:
+                    out.append((owner, len({find(x) for x in list(root)})))
+                owner, root = o, {}
+            root[find(b)] = find(a)
+        yield told(out)
+    if root:
+        yield told([(owner, len({find(x) for x in list(root)}))])
 
 
 def lcom4(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -85,4 +97,4 @@ def lcom4(members: DataFrame, links: DataFrame) -> DataFrame:
     hub = links.groupBy("owner", "key").agg(F.min("member").alias("hub"))
     pairs = links.join(hub, ["owner", "key"]).select("owner", F.col("hub").alias("a"), F.col("member").alias("b")).distinct()
     rows = pairs.union(members.select("owner", F.col("member").alias("a"), F.col("member").alias("b")))
-    return rows.groupBy("owner").applyInPandas(_parts, "owner long, lcom4 long")
+    return rows.repartition("owner").sortWithinPartitions("owner").mapInArrow(_parts, "owner long, lcom4 long")
