@@ -8,6 +8,7 @@ import unicodedata
 from functools import lru_cache, partial
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, text_of
 
-#: Bytes of text that are worked on at once, pieces remembered by a task, and the longest piece worth remembering.
-_CHUNK, _REMEMBERED, _LONG = 1 << 20, 300_000, 64
+#: Bytes of text that are worked on at once, pieces remembered by a worker, the longest piece worth remembering, and pairs
+#: of tokens remembered.
+_CHUNK, _REMEMBERED, _LONG, _PAIRS = 1 << 20, 400_000, 64, 1_000_000
+INFINITE = float("inf")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,8 +43,7 @@ class Prefixes:
         start = len(self.data)
         self.data += data
         self.last += [None] * len(data)
-        for i in range(start + 1, len(self.data) + 1):
-            self.last[i] = self.bpe._last(self.data, self.last, i)
+        self.bpe._fill(self.data, self.last, start)
 
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Puts data in the place of bytes start to end; returns how many prefixes were worked out again."""
@@ -74,44 +76,101 @@ class BytePairEncoder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._follows: dict[tuple, bool] = {}
-
-    def _merge(self, data: bytes) -> list[int]:
+        self._follows: dict[int, bool] = {}
+        self._spines: tuple[dict, dict] = {}, {}
+        self._ending = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self._ending.add_word(token.decode("latin-1"), (rank, len(token)))
+        self._ending.make_automaton()
+
+    def _merge(self, data: bytes, down_to: int = 1) -> list[bytes]:
+        """Merges by rank, the way that defines the encoding, until so many parts are left."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(parts) > 1:
+        while len(parts) > down_to:
             found = [(ranks[x], i) for i, x in enumerate(a + b for a, b in zip(parts, parts[1:])) if x in ranks]
             if not found:
                 break
             _, i = min(found)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[x] for x in parts]
+        return parts
+
+    def _spine(self, token: int, right: bool) -> list[tuple[bytes, float]]:
+        """The parts of a token that are at its right or left end while it is merged, from the single byte on, each with
+        the rank of the merge that ends it."""
+        known = self._spines[right].get(token)
+        if known is None:
+            part, known = self.bytes_of[token], []
+            above = INFINITE
+            while True:
+                known.append((part, above))
+                if len(part) == 1:
+                    break
+                above = self.ranks[part]
+                halves = self._merge(part, 2)
+                part = halves[-1] if right else halves[0]
+            known.reverse()
+            self._spines[right][token] = known
+        return known
 
-    def _can_follow(self, before: int | None, token: int) -> bool:
-        known = self._follows.get((before, token))
+    def _can_follow(self, before: int, token: int) -> bool:
+        """Whether no merge crosses from one token to the other: a crossing pair has to be merged before either part
+        goes into a larger one, and of equal ranks the left goes first."""
+        left, right = self._spine(before, True), self._spine(token, False)
+        i = j = 0
+        ranks = self.ranks
+        while True:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            m = ranks.get(x + y)
+            if m is not None and m < x_ends and m <= y_ends:
+                return False
+            if x_ends <= y_ends:
+                if x_ends == INFINITE:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _fits(self, before: int | None, token: int) -> bool:
+        key = token if before is None else (before + 1) << 24 | token
+        known = self._follows.get(key)
         if known is None:
-            if len(self._follows) >= 2_000_000:
+            if len(self._follows) >= _PAIRS:
                 self._follows.clear()
-            want = [token] if before is None else [before, token]
-            known = self._follows[before, token] = self._merge(b"".join(self.bytes_of[x] for x in want)) == want
+            known = self._merge(self.bytes_of[token]) == [self.bytes_of[token]] if before is None else self._can_follow(before, token)
+            self._follows[key] = known
         return known
 
     def _last(self, data: bytes, last: list, i: int) -> int:
         ranks = self.ranks
         for start in range(max(0, i - self.longest), i):
             token = ranks.get(bytes(data[start:i]))
-            if token is not None and self._can_follow(last[start], token):
+            if token is not None and self._fits(last[start], token):
                 return token
         raise ValueError(f"no token for byte {data[i - 1]:#x}")
 
+    def _fill(self, data: bytes, last: list, start: int) -> None:
+        """The last tokens of all prefixes longer than start. The automaton names the tokens that end at each byte."""
+        base = max(0, start + 1 - self.longest)
+        follows = self._follows
+        for end, (token, length) in self._ending.iter(data[base:].decode("latin-1")):
+            i = base + end + 1
+            if i > start and last[i] is None and i - length >= base:
+                before = last[i - length]
+                known = follows.get(token if before is None else (before + 1) << 24 | token)
+                if known or known is None and self._fits(before, token):
+                    last[i] = token
+        if None in last[1:]:
+            raise ValueError("the vocabulary has no token for a byte of the text")
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else Prefixes(self, piece).tokens()
 
     def pieces(self, text: str) -> list[str]:
         """Matches of the pattern. Letters and digits newer than the Unicode version of the interpreter are other signs."""
-        if not _newer().search(text):
+        if text.isascii() or max(text, default="") < _newer()[0] or not _newer()[1].search(text):
             return self.pattern.findall(text)
-        plain = _newer().sub("\ufffd", text)
+        plain = _newer()[1].sub("\ufffd", text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
 
     def encode(self, text: str) -> list[int]:
@@ -122,7 +181,8 @@ class BytePairEncoder:
 
 
 @lru_cache(1)
-def _newer() -> regex.Pattern:
+def _newer() -> tuple[str, regex.Pattern]:
+    """The first of the letters and digits that only the regex module's Unicode version has, and a pattern of them all."""
     found = [c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))) if unicodedata.category(c) == "Cn"]
     spans, cps = [], sorted(map(ord, found))
     for c in cps:
@@ -130,13 +190,24 @@ def _newer() -> regex.Pattern:
             spans[-1][1] = c
         else:
             spans.append([c, c])
-    return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]" if spans else r"(?!)")
+    if not spans:
+        return "\U0010ffff", regex.compile(r"(?!)")
+    return chr(cps[0]), regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]")
+
+
+_MADE: list = []
+
+
+def _made(ranks: dict[bytes, int], pattern: str) -> tuple[BytePairEncoder, dict[str, list[int]]]:
+    """A worker's encoder and the pieces it remembers, kept for the tasks to come."""
+    if not _MADE or _MADE[0].ranks != ranks or _MADE[0].pattern.pattern != pattern:
+        _MADE[:] = [BytePairEncoder(ranks, pattern), {}]
+    return _MADE[0], _MADE[1]
 
 
 def _encoded(batches, ranks: dict, pattern: str, what):
     """what(a text's ids, encoder) for each text: in parts, (batch, first row, values)."""
-    bpe = BytePairEncoder(ranks, pattern)
-    known: dict[str, list[int]] = {}
+    bpe, known = _made(ranks, pattern)
     for batch in batches:
         texts = batch.column("_text")
         for part in chunks(range(batch.num_rows), lambda k: len(texts[k].as_buffer() or b"") + 100, _CHUNK):
