@@ -36,7 +36,10 @@ class Queries:
         def register(f: Callable[[Graph], DataFrame]):
             self.made[f.__name__] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
             if sql is not None:
-                self.sql[f.__name__] = (f"WITH RECURSIVE {star.SQL.strip()}\n" if graph and not sql.lstrip().startswith(",") else f"WITH RECURSIVE {star.SQL.strip()}" if graph else "") + sql
+                own = sql.strip()
+                given = f"WITH RECURSIVE {star.SQL.strip()}" if graph else ""
+                more = own.startswith(",")
+                self.sql[f.__name__] = f"{given}\n{own}" if graph else ("WITH " + own[1:] if more else own)
             return f
 
         return register

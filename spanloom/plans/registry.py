@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import facet_queries, graph_queries
+from spanloom.plans import change_queries, facet_queries, graph_queries
 
-_PARTS = (facet_queries, graph_queries)
+_PARTS = (facet_queries, graph_queries, change_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
