@@ -7,8 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.functions.staging import stage
 from spanloom.sources import star
 
+_SNAPSHOTS: dict[tuple, DataFrame] = {}
+
 
 @dataclass
 class Graph:
@@ -17,11 +20,19 @@ class Graph:
 
     @property
     def symbols(self) -> DataFrame:
-        return star.symbols(self.spark, self.sf_dir)
+        return self._snapshot("symbols", star.symbols)
 
     @property
     def refs(self) -> DataFrame:
-        return star.references(self.spark, self.sf_dir)
+        return self._snapshot("references", star.references)
+
+    def _snapshot(self, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+        """The graph is built once a session and folder and written as a table, which queries then read: only the
+        columns and rows that they need. The files of a snapshot don't change."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _SNAPSHOTS:
+            _SNAPSHOTS[key] = stage(build(self.spark, self.sf_dir))
+        return _SNAPSHOTS[key]
 
     def table(self, name: str) -> DataFrame:
         return star.table(self.spark, self.sf_dir, name)

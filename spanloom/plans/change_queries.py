@@ -186,7 +186,7 @@ def suppression_directives(g):
     return g.table("documents").select("doc_id", F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(the|The)\b"))).cast("long").alias("directives"))
 
 
-@add(""", e AS (SELECT user_id, event_type, event_id, CAST(epoch(ts) AS BIGINT) // 600 AS w FROM events) SELECT user_id, w AS batch, count(*) AS n, bool_or(event_type = 'purchase') AS rescan, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, min(event_id) AS first_event FROM e GROUP BY ALL""", graph=False)
+@add(""", e AS (SELECT user_id, event_type, event_id, CAST(floor(epoch(ts) / 600) AS BIGINT) AS w FROM events) SELECT user_id, w AS batch, count(*) AS n, bool_or(event_type = 'purchase') AS rescan, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, min(event_id) AS first_event FROM e GROUP BY ALL""", graph=False)
 def event_coalescing(g):
     """Change events of ten minutes merged: flags or-ed, kinds united."""
     return live.coalesce_events(g.table("events"), 600)
