@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
+from array import array
 from functools import partial
 
 import numpy as np
@@ -21,37 +23,90 @@ _CHUNK, _REMEMBERED, _LONG = 1 << 20, 300_000, 100
 PATIENCE, ATTEMPTS = 8, 2000
 
 
+_ENDS = b".,;:!?"
+
+
+def _plain(word: bytes) -> tuple[bytes, bytes]:
+    """A word that is cut alike, and a sign behind it that is a token of its own.
+
+    Case is folded by the tokenizer in any event; it is done here only for words of ASCII, where no composed
+    letters can come between. A sign behind a letter or digit begins a new token, unless the letter's small form
+    ends in a mark."""
+    sign = b""
+    if len(word) > 1 and word[-1] in _ENDS:
+        before = word[-2:-1] if word[-2] < 128 else word[:-1].decode()[-1:].encode()
+        c = before.decode()
+        if c.isalnum() if c.isascii() else c.lower().isalpha() and ord(c) < 0x250:
+            word, sign = word[:-1], word[-1:]
+    return word.lower() if word.isascii() else word, sign
+
+
 class _Ids:
     """Token ids of words as packed bytes. The tokenizer never joins anything across ASCII white space, so texts are
-    split there and a word's ids are kept."""
+    split there and a word's ids are kept, for the tasks to come as well."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.rules = tokenizer_json
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.known, self.plain = _Recent(), _Recent()
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        wanted = set().union(*words)
-        if len(self.known) + len(wanted) > _REMEMBERED:
-            self.known = {}
-        known = self.known
-        missing = [w for w in wanted if w not in known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        for w, e in zip(missing, found):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-        for w in missing:
-            if len(w) > _LONG:
-                del known[w]
+        gc.disable()  # nothing here is cyclic, and the collector would walk all that is remembered
+        try:
+            known, missing = self.known.open(set().union(*words))
+            pairs = list(map(_plain, missing))
+            plain, new = self.plain.open({x for pair in pairs for x in pair if x})
+            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+                plain[w] = array("I", e.ids).tobytes()
+            for w, (word, sign) in zip(missing, pairs):
+                known[w] = plain[word] + plain[sign] if sign else plain[word]
+            out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+            for found, fresh in ((known, missing), (plain, new)):
+                for w in fresh:
+                    if len(w) > _LONG:
+                        del found[w]
+        finally:
+            gc.enable()
         return out
 
 
+class _Recent:
+    """A cache of two generations: what is used again outlives the rest."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def open(self, wanted: set[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        """The generation that holds all wanted that are known, and those that are not."""
+        if len(self.young) > _REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old, missing = self.young, self.old, []
+        for w in wanted - young.keys():
+            found = old.get(w)
+            if found is None:
+                missing.append(w)
+            else:
+                young[w] = found
+        return young, missing
+
+
+_IDS: list[_Ids] = []
+
+
+def _ids(tokenizer_json: str) -> _Ids:
+    if not _IDS or _IDS[0].rules != tokenizer_json:
+        _IDS[:] = [_Ids(tokenizer_json)]
+    return _IDS[0]
+
+
 def _pieces(batches, tokenizer_json: str, end: int, capacity: int, with_ids: bool):
-    ids_of, last = _Ids(tokenizer_json), np.array([end], "<u4").tobytes()
+    ids_of, last = _ids(tokenizer_json), np.array([end], "<u4").tobytes()
     for batch in batches:
         texts = batch.column("_text").cast(pa.large_binary())
         for part in chunks(range(batch.num_rows), lambda k: len(texts[k].as_buffer()) + 100, _CHUNK):
