@@ -34,6 +34,8 @@ _CODED = re.compile(rb"[\x09-\x0D\xC0\xC1]|[\xF5-\xFE].|\xFF..|[^\x20]+\x20", re
 _SURVEYED = 16
 #: A minimiser is crowded from so many packed strings on; of the crowded ones no more than this many exist by count.
 CROWDED, _MOST_CROWDED = 100_000, 200_000
+#: So many words have codes, at most, by the share of all words that they need.
+_MOST_WORDS = 100_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PACKED = "_key long, _id long, _row long, _at int, _pack binary, _to int"
@@ -215,8 +217,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = counts.filter("_key is not null").agg(F.sum("_n")).first()[0] or 0
     limit = max(crowded_from / _SURVEYED, total / _MOST_CROWDED)
     crowded = [r[0] for r in counts.filter((F.col("_key").isNotNull()) & (F.col("_n") > limit)).select("_key").toLocalIterator()]
-    often = counts.filter("_word is not null and _n > 1").orderBy(F.col("_n").desc(), "_word").limit(len(_CODES)).select("_word").collect()
-    codes = {bytes(r[0]): c for r, c in zip(often, _CODES) if len(c) <= len(r[0])}
+    words = counts.filter("_word is not null")
+    share = (words.agg(F.sum("_n")).first()[0] or 0) / _MOST_WORDS  # so many words at most can have as large a share
+    often = sorted(((r._n, bytes(r._word)) for r in words.filter((F.col("_n") > 1) & (F.col("_n") >= share)).select("_n", "_word").toLocalIterator()), key=lambda x: (-x[0], x[1]))
+    codes = {w: c for (_, w), c in zip(often, _CODES) if len(c) <= len(w)}
     packed = rows.mapInArrow(partial(_pack, window=window, crowded=crowded, codes=codes), _PACKED)
     in_buckets = packed.repartition("_key").sortWithinPartitions("_key", "_id", "_at")
     return in_buckets.mapInArrow(partial(_count, window=window), "_id long, _row long, _at int, _to int")
