@@ -39,15 +39,16 @@ def _words(buf: np.ndarray, offsets: np.ndarray):
     return joined, begins, lengths, np.searchsorted(offsets, starts, "right") - 1
 
 
-def _fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts lying end to end: the XXH64 hashes of their shingles, one text after another, and the number of each text."""
     n = len(offsets) - 1
-    out = np.zeros(n, np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(n, np.int64)
     if not len(buf):
-        return out
+        return none
     upper = (buf >= 65) & (buf <= 90)
     joined, begins, lengths, text = _words(np.where(upper, buf + 32, buf).astype(np.uint8), offsets)
     if not len(begins):
-        return out
+        return none
     words = np.bincount(text, minlength=n)
     shingles = np.maximum(words - shingle + 1, np.minimum(words, 1))
     ends = begins + lengths
@@ -56,6 +57,14 @@ def _fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
     use = place < shingles[text]
     data, h64 = joined.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((h64(data[a:b], SEED) for a, b in zip(begins[use].tolist(), ends[last[use]].tolist())), np.uint64, int(shingles.sum()))
+    return hashes, shingles
+
+
+def _fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    out = np.zeros(len(offsets) - 1, np.int64)
+    hashes, shingles = shingle_hashes(buf, offsets, shingle)
+    if not len(hashes):
+        return out
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
     some = np.flatnonzero(shingles)
     sums = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[some], axis=0, dtype=np.int64)
@@ -63,16 +72,21 @@ def _fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
     return out
 
 
+def text_chunks(text: pa.Array):
+    """(bytes, offsets from 0) of successive runs of texts, each of about _CHUNK bytes or one text."""
+    text = text.cast(pa.large_binary())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(text):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _CHUNK, "right")) - 1)
+        yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
 def _fingerprint_batches(batches, shingle: int):
     for batch in batches:
-        text = batch.column("_text").cast(pa.large_binary())
-        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-        found, a = [], 0
-        while a < len(text):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _CHUNK, "right")) - 1)
-            found.append(_fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle))
-            a = b
+        found = [_fingerprints(buf, offsets, shingle) for buf, offsets in text_chunks(batch.column("_text"))]
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))], ["_id", "_fp"])
 
 
