@@ -136,10 +136,20 @@ def hunk_coverage(g):
     return left.groupBy("k").agg(F.sum(F.col("end") - F.col("start")).alias("uncovered_lines"))
 
 
+def _symbol_hunks(g, orders):
+    h = orders.select((F.col("o_custkey") + 1000).alias("source_id"), F.col("o_orderkey").alias("hunk"), (1 + F.col("o_orderkey") % 40).alias("from_line"), (1 + F.col("o_orderkey") % 40 + F.col("o_orderkey") % 9).alias("to_line"))
+    return changes.overlapping(g.symbols, h, "source_id").select("symbol_id", "hunk")
+
+
 @add(""", h AS (SELECT 1000 + o_custkey AS source_id, o_orderkey AS hunk, 1 + o_orderkey % 40 AS a, 1 + o_orderkey % 40 + o_orderkey % 9 AS b FROM orders WHERE o_orderkey % 10 = 0) SELECT symbol_id, hunk FROM sym JOIN h USING (source_id) WHERE start_line <= b AND a <= end_line""")
 def symbol_hunk_overlap(g):
-    h = g.table("orders").filter("o_orderkey % 10 = 0").select((F.col("o_custkey") + 1000).alias("source_id"), F.col("o_orderkey").alias("hunk"), (1 + F.col("o_orderkey") % 40).alias("from_line"), (1 + F.col("o_orderkey") % 40 + F.col("o_orderkey") % 9).alias("to_line"))
-    return changes.overlapping(g.symbols, h, "source_id").select("symbol_id", "hunk")
+    return _symbol_hunks(g, g.table("orders").filter("o_orderkey % 10 = 0"))
+
+
+@add()
+def symbol_hunk_overlap_all(g):
+    """symbol_hunk_overlap with a hunk of every order; the SQL of that one makes them of a tenth."""
+    return _symbol_hunks(g, g.table("orders"))
 
 
 @add(""", c AS (SELECT symbol_id FROM sym WHERE kind = 'supplier' AND symbol_id % 4 = 0) SELECT target_id AS symbol_id, count(*) AS blast_radius FROM ref JOIN c ON target_id = symbol_id GROUP BY 1""")
