@@ -51,13 +51,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = lines_in_window
     starts = repeated_windows(docs, id_col, text_col, n).groupBy("_id", "_row").agg(F.array_sort(F.collect_set("_at")).alias("_starts"))
     # a span begins where no window reaches up to it, and ends where none follows
-    spans = stage(
-        starts.select(
-            "_id",
-            "_row",
-            F.expr(f"filter(_starts, (x, i) -> i = 0 or x > _starts[i - 1] + {n})").alias("_from"),
-            F.expr(f"transform(filter(_starts, (x, i) -> i = size(_starts) - 1 or _starts[i + 1] > x + {n}), x -> x + {n})").alias("_to"),
-        )
+    spans = starts.select(
+        "_id",
+        "_row",
+        F.expr(f"filter(_starts, (x, i) -> i = 0 or x > _starts[i - 1] + {n})").alias("_from"),
+        F.expr(f"transform(filter(_starts, (x, i) -> i = size(_starts) - 1 or _starts[i + 1] > x + {n}), x -> x + {n})").alias("_to"),
     )
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_row")
