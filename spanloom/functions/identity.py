@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that hold one of these are quoted with back-ticks, and a back-tick in them is doubled.
-_SPECIAL = re.compile(r"[/:`]")
+_SPECIAL = r"[/` \t\n\f\r]"
 _SEGMENT = r"[^/:`]+:(?:`(?:[^`]|``)*`|[^/`]*)"
 
 
@@ -17,7 +17,7 @@ def _c(x: Column | str) -> Column:
 
 
 def write_segment(kind: str, name: str) -> str:
-    return f"{kind}:" + ("`" + name.replace("`", "``") + "`" if _SPECIAL.search(name) or not name else name)
+    return f"{kind}:" + ("`" + name.replace("`", "``") + "`" if re.search(_SPECIAL, name) or not name else name)
 
 
 def parse(identity: str) -> list[tuple[str, str]]:
@@ -29,14 +29,16 @@ def parse(identity: str) -> list[tuple[str, str]]:
     return out
 
 
+def _unquoted(raw: Column) -> Column:
+    return F.when(raw.startswith("`"), F.replace(F.regexp_replace(raw, "^`|`$", ""), F.lit("``"), F.lit("`"))).otherwise(raw)
+
+
 def segments(identity: Column | str) -> Column:
     """array<struct<kind, name>>; quoted names may hold slashes and colons."""
     found = F.regexp_extract_all(_c(identity), F.lit(f"({_SEGMENT})"), F.lit(1))
 
     def one(s: Column) -> Column:
-        raw = F.regexp_replace(s, "^[^:]*:", "")
-        name = F.when(raw.startswith("`"), F.replace(F.regexp_replace(raw, "^`|`$", ""), F.lit("``"), F.lit("`"))).otherwise(raw)
-        return F.struct(F.substring_index(s, ":", 1).alias("kind"), name.alias("name"))
+        return F.struct(F.substring_index(s, ":", 1).alias("kind"), _unquoted(F.regexp_replace(s, "^[^:]*:", "")).alias("name"))
 
     return F.transform(found, one)
 
@@ -44,11 +46,20 @@ def segments(identity: Column | str) -> Column:
 def serialise(segs: Column | str) -> Column:
     def one(s: Column) -> Column:
         quoted = F.concat(F.lit("`"), F.replace(s["name"], F.lit("`"), F.lit("``")), F.lit("`"))
-        return F.concat(s["kind"], F.lit(":"), F.when(s["name"].rlike(r"[/:`]") | (s["name"] == ""), quoted).otherwise(s["name"]))
+        return F.concat(s["kind"], F.lit(":"), F.when(s["name"].rlike(_SPECIAL) | (s["name"] == ""), quoted).otherwise(s["name"]))
 
     return F.array_join(F.transform(_c(segs), one), "/")
 
 
+def _quoted(identity: Column | str) -> Column:
+    return _c(identity).contains("`")
+
+
+def raw_segments(identity: Column | str) -> Column:
+    """array<string>: the segments as they are written; slashes inside back-ticks don't part them."""
+    return F.regexp_extract_all(_c(identity), F.lit(f"({_SEGMENT})"), F.lit(1))
+
+
 def is_ancestor(a: Column | str, b: Column | str) -> Column:
     """a @> b: b is a or lies under it."""
     return (_c(a) == _c(b)) | _c(b).startswith(F.concat(_c(a), F.lit("/")))
@@ -64,9 +75,13 @@ def in_scope(identity: Column | str, prefix: str) -> Column:
 
 
 def ancestors(identity: Column | str) -> Column:
-    """The identity and all its prefixes, shortest first: what turns a prefix join into an equi-join."""
-    parts = F.split(_c(identity), "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    """The identity and all its prefixes, shortest first: what turns a prefix join into an equi-join.
+
+    Without quoted names the k-th prefix is cut at the k-th slash; else prefixes are put together from whole segments."""
+    parts = raw_segments(identity)
+    plain = F.transform(F.sequence(F.lit(1), F.size(F.split(_c(identity), "/"))), lambda i: F.call_function("substring_index", _c(identity), F.lit("/"), i))
+    whole = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return F.when(_quoted(identity), whole).otherwise(plain)
 
 
 def bare_name(name: Column | str) -> Column:
@@ -74,11 +89,12 @@ def bare_name(name: Column | str) -> Column:
 
 
 def parent(identity: Column | str) -> Column:
-    return F.when(_c(identity).contains("/"), F.regexp_replace(_c(identity), "/[^/]*$", ""))
+    """All but the last segment; null for a root."""
+    return F.nullif(F.regexp_replace(_c(identity), f"(?:^|/){_SEGMENT}$", ""), F.lit(""))
 
 
 def last_segment(identity: Column | str) -> Column:
-    return F.substring_index(_c(identity), "/", -1)
+    return F.when(_quoted(identity), F.get(raw_segments(identity), F.size(raw_segments(identity)) - 1)).otherwise(F.substring_index(_c(identity), "/", -1))
 
 
 def last_kind(identity: Column | str) -> Column:
@@ -86,11 +102,24 @@ def last_kind(identity: Column | str) -> Column:
 
 
 def last_name(identity: Column | str) -> Column:
-    return F.regexp_replace(last_segment(identity), "^[^:]*:", "")
+    """The last segment's name, without its quotes."""
+    return _unquoted(F.regexp_replace(last_segment(identity), "^[^:]*:", ""))
 
 
 def depth(identity: Column | str) -> Column:
-    return F.size(F.split(_c(identity), "/"))
+    return F.when(_quoted(identity), F.size(raw_segments(identity))).otherwise(F.size(F.split(_c(identity), "/")))
+
+
+def cut(identity: Column | str, n: int) -> Column:
+    """The first n segments."""
+    return F.when(_quoted(identity), F.array_join(F.slice(raw_segments(identity), 1, n), "/")).otherwise(F.substring_index(_c(identity), "/", n))
+
+
+def child_of(identity: Column | str, prefix: str) -> Column:
+    """The segment right below a prefix, or null outside of it; an empty prefix is above all."""
+    if not prefix:
+        return cut(identity, 1)
+    return F.when(_c(identity).startswith(prefix + "/"), cut(F.substring(_c(identity), len(prefix) + 2, 2**31 - 1), 1))
 
 
 def segment(segs: Column | str, kind: str) -> Column:
@@ -108,11 +137,23 @@ def has_segment(segs: Column | str, kind: str, name: str) -> Column:
     return F.exists(_c(segs), lambda s: (s["kind"] == kind) & (s["name"] == name))
 
 
+#: Languages in which a match by name leaves parameters aside.
+BARE_LANGUAGES = ("sql", "ts", "java", "python", "rs", "go", "cs")
+
+
 def bind_key(identity: Column | str) -> Column:
-    """What two identities must share to match by name: the parent path and the last name without its parameters, the kind left aside."""
+    """An equi-join key that all pairs of bind_match share: the parent path and the last name without its parameters."""
     return F.concat_ws("\u0001", F.coalesce(parent(identity), F.lit("")), bare_name(last_name(identity)))
 
 
+def bind_match(a: Column | str, b: Column | str) -> Column:
+    """a ?= b: the same but for the last kind; parameters are left aside where both are of one language that has them."""
+    x, y = last_name(a), last_name(b)
+    lang = segment(segments(a), "lang")
+    bare = (lang == segment(segments(b), "lang")) & lang.isin(*BARE_LANGUAGES) & (bare_name(x) == bare_name(y))
+    return parent(a).eqNullSafe(parent(b)) & ((x == y) | bare)
+
+
 def sort_key(segs: Column | str) -> Column:
     """Binary key in tree order: a parent comes before what lies under it, by length-prefixed components."""
     def part(x: Column) -> Column:

@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.identity import in_scope
+from spanloom.functions.identity import child_of, cut, in_scope, parse
 from spanloom.functions.staging import stage
 from spanloom.functions.stats import floor_percent
 from spanloom.schema import DECIDED
 
 
-def child_of(identity: Column, prefix: str) -> Column:
-    """The next segment below a prefix, or null outside of it."""
-    if not prefix:
-        return F.substring_index(identity, "/", 1)
-    return F.when(identity.startswith(prefix + "/"), F.substring_index(F.substring(identity, len(prefix) + 2, 1_000_000), "/", 1))
-
-
-def cut(identity: Column, depth: int) -> Column:
-    return F.substring_index(identity, "/", depth)
-
-
 def ends(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """References with the identity of their source beside that of their target."""
     return refs.join(symbols.select(F.col("symbol_id").alias("source_symbol_id"), F.col("identity").alias("source_identity")), "source_symbol_id")
@@ -29,7 +18,7 @@ def ends(symbols: DataFrame, refs: DataFrame) -> DataFrame:
 
 def identity_children(symbols: DataFrame, prefix: str) -> DataFrame:
     """Segments right below a prefix: segment, symbols at and below it, the symbol itself, whether more lies below."""
-    deep = 1 + (prefix.count("/") + 1 if prefix else 0)
+    deep = 1 + len(parse(prefix))
     rows = symbols.withColumn("segment", child_of(F.col("identity"), prefix)).filter("segment is not null")
     return rows.groupBy("segment").agg(
         F.count(F.lit(1)).alias("descendants"),
@@ -43,7 +32,7 @@ def identity_graph(symbols: DataFrame, refs: DataFrame, prefix: str, min_count:
     out), 'out' and 'in' (a segment and the other end, cut one segment deeper than the prefix), 'unlinked'.
 
     Both ends are cut to short strings before the one aggregation, whose partial step folds them where they lie."""
-    deep = 2 + (prefix.count("/") if prefix else -1)
+    deep = 1 + len(parse(prefix))
     rows = ends(symbols, refs).select(
         child_of(F.col("source_identity"), prefix).alias("s"),
         child_of(F.col("target_identity"), prefix).alias("t"),

@@ -49,19 +49,23 @@ def inheritors(refs: DataFrame, relations: list[str]) -> DataFrame:
     return refs.filter(F.col("kind").isin(relations) & F.col("target_id").isNotNull()).groupBy(F.col("target_id").alias("symbol_id")).agg(F.count_distinct("source_symbol_id").alias("noc"))
 
 
-def depth_of_inheritance(symbols: DataFrame, refs: DataFrame, relations: list[str], most: int = 16) -> DataFrame:
-    """dit: the longest chain of inheritance from each symbol; a target outside the graph counts one; on a cycle, 0.
-
-    Levels are joined one by one, each written as a table, until no chain grows."""
-    edges = refs.filter(F.col("kind").isin(relations)).select(F.col("source_symbol_id").alias("s"), F.col("target_id").alias("t"))
-    chain = stage(symbols.select("symbol_id", F.col("symbol_id").alias("at"), F.lit(0).alias("n"), F.lit(False).alias("cycle")))
-    best = chain
-    for _ in range(most):
-        chain = stage(chain.filter("at is not null and not cycle").join(edges, F.col("at") == F.col("s")).select("symbol_id", F.col("t").alias("at"), (F.col("n") + 1).alias("n"), F.coalesce(F.col("t") == F.col("symbol_id"), F.lit(False)).alias("cycle")).distinct())
-        if chain.isEmpty():
+def depth_of_inheritance(symbols: DataFrame, refs: DataFrame, relations: list[str]) -> DataFrame:
+    """dit: the longest chain of inheritance from each symbol. A target outside the graph counts one, as does the
+    step by which a chain comes back to a symbol that is already on it, where it ends.
+
+    Levels are joined one by one, each written as a table, until no chain grows. A chain carries the symbols on
+    it, so that cycles end and no bound on the depth is needed."""
+    edges = refs.filter(F.col("kind").isin(relations)).select(F.col("source_symbol_id").alias("s"), F.col("target_id").alias("t")).distinct()
+    first = stage(symbols.select("symbol_id", F.col("symbol_id").alias("at"), F.array("symbol_id").alias("on")))
+    best, chain, n = first.select("symbol_id", F.lit(0).alias("n")), first, 0
+    while True:
+        n += 1
+        grown = stage(chain.join(edges, F.col("at") == F.col("s")).select("symbol_id", F.col("t").alias("at"), "on"))
+        if grown.isEmpty():
             break
-        best = best.unionByName(chain)
-    return best.groupBy("symbol_id").agg(F.when(F.bool_or("cycle"), 0).otherwise(F.max("n")).alias("dit"))
+        best = best.unionByName(grown.select("symbol_id", F.lit(n).alias("n")))
+        chain = grown.filter("at is not null and not array_contains(on, at)").select("symbol_id", "at", F.array_append("on", F.col("at")).alias("on"))
+    return best.groupBy("symbol_id").agg(F.max("n").alias("dit"))
 
 
 def _parts(batches):

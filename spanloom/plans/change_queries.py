@@ -108,7 +108,7 @@ def multiset_cancel(g):
 
 
 @add(""", u AS (SELECT identity FROM sym WHERE (kind = 'order' AND symbol_id % 3 = 0) OR (kind = 'line' AND symbol_id % 2 = 0) OR (kind = 'customer' AND symbol_id % 50 = 0)),
-c AS (SELECT DISTINCT u.identity FROM (SELECT identity, unnest([array_to_string(string_split(identity, '/')[1:d], '/') FOR d IN range(1, len(string_split(identity, '/')))]) AS up FROM u) u JOIN u v ON v.identity = up) SELECT identity FROM u WHERE identity NOT IN (SELECT identity FROM c)""")
+c AS (SELECT DISTINCT u.identity FROM (SELECT identity, unnest([array_to_string(string_split(identity, '/')[1:d], '/') FOR d IN range(1, len(string_split(identity, '/')))]) AS up FROM u) u JOIN u v ON v.identity = up) SELECT identity FROM u ANTI JOIN c USING (identity)""")
 def collapse_removed(g):
     rows = g.symbols.filter("(kind = 'order' and symbol_id % 3 = 0) or (kind = 'line' and symbol_id % 2 = 0) or (kind = 'customer' and symbol_id % 50 = 0)").select("identity")
     return changes.collapse(rows, "identity")
@@ -136,25 +136,15 @@ def hunk_coverage(g):
     return left.groupBy("k").agg(F.sum(F.col("end") - F.col("start")).alias("uncovered_lines"))
 
 
-def _symbol_hunks(g, orders):
-    h = orders.select((F.col("o_custkey") + 1000).alias("source_id"), F.col("o_orderkey").alias("hunk"), (1 + F.col("o_orderkey") % 40).alias("from_line"), (1 + F.col("o_orderkey") % 40 + F.col("o_orderkey") % 9).alias("to_line"))
-    return changes.overlapping(g.symbols, h, "source_id").select("symbol_id", "hunk")
-
-
-@add(""", h AS (SELECT 1000 + o_custkey AS source_id, o_orderkey AS hunk, 1 + o_orderkey % 40 AS a, 1 + o_orderkey % 40 + o_orderkey % 9 AS b FROM orders WHERE o_orderkey % 10 = 0) SELECT symbol_id, hunk FROM sym JOIN h USING (source_id) WHERE start_line <= b AND a <= end_line""")
+@add(""", h AS (SELECT 1000 + o_custkey AS source_id, o_orderkey AS hunk, 1 + o_orderkey % 40 AS a, 1 + o_orderkey % 40 + o_orderkey % 9 AS b FROM orders) SELECT symbol_id, hunk FROM sym JOIN h USING (source_id) WHERE start_line <= b AND a <= end_line""")
 def symbol_hunk_overlap(g):
-    return _symbol_hunks(g, g.table("orders").filter("o_orderkey % 10 = 0"))
-
-
-@add()
-def symbol_hunk_overlap_all(g):
-    """symbol_hunk_overlap with a hunk of every order; the SQL of that one makes them of a tenth."""
-    return _symbol_hunks(g, g.table("orders"))
+    h = g.table("orders").select((F.col("o_custkey") + 1000).alias("source_id"), F.col("o_orderkey").alias("hunk"), (1 + F.col("o_orderkey") % 40).alias("from_line"), (1 + F.col("o_orderkey") % 40 + F.col("o_orderkey") % 9).alias("to_line"))
+    return changes.overlapping(g.symbols, h, "source_id").select("symbol_id", "hunk")
 
 
-@add(""", c AS (SELECT symbol_id FROM sym WHERE kind = 'supplier' AND symbol_id % 4 = 0) SELECT target_id AS symbol_id, count(*) AS blast_radius FROM ref JOIN c ON target_id = symbol_id GROUP BY 1""")
+@add(""", c AS (SELECT symbol_id FROM sym WHERE kind = 'supplier') SELECT target_id AS symbol_id, count(*) AS blast_radius FROM ref JOIN c ON target_id = symbol_id GROUP BY 1""")
 def blast_radius(g):
-    changed = g.symbols.filter("kind = 'supplier' and symbol_id % 4 = 0").select(F.col("symbol_id").alias("target_id"))
+    changed = g.symbols.filter("kind = 'supplier'").select(F.col("symbol_id").alias("target_id"))
     return g.refs.join(changed, "target_id").groupBy(F.col("target_id").alias("symbol_id")).agg(F.count(F.lit(1)).alias("blast_radius"))
 
 
@@ -185,9 +175,14 @@ def rules_check(g):
     return rules.check(g.symbols, _RULES)
 
 
-@add(""", c AS (SELECT parent_id AS owner, count(*) AS n FROM sym WHERE kind = 'line' GROUP BY 1) SELECT 'order.small' AS rule_id, count(*) AS evaluated, count(*) FILTER (coalesce(n, 0) >= 2) AS antecedent_matches, count(*) FILTER (coalesce(n, 0) >= 2 AND NOT end_line - start_line + 1 <= 40) AS violations FROM sym LEFT JOIN c ON owner = symbol_id WHERE kind = 'order'""")
+@add(""", c AS (SELECT parent_id AS owner, count(*) AS n, max(end_line - start_line + 1) AS m, count(*) FILTER (coalesce(end_line - start_line < 45, false)) AS ok, count(*) FILTER (visibility = 'O') AS open, bool_or(srcset = '1-URGENT') AS urgent FROM sym WHERE parent_id IS NOT NULL GROUP BY 1),
+s AS (SELECT sym.*, coalesce(n, 0) AS n, m, coalesce(ok, 0) AS ok, coalesce(open, 0) AS open, coalesce(urgent, false) AS urgent, end_line - start_line + 1 AS lines FROM sym LEFT JOIN c ON owner = symbol_id)
+SELECT 'order.small' AS rule_id, count(*) AS evaluated, count(*) FILTER (n >= 2) AS antecedent_matches, count(*) FILTER (n >= 2 AND NOT lines <= 40) AS violations FROM s WHERE kind = 'order'
+UNION ALL SELECT 'order.lines', count(*), count(*), count(*) FILTER (NOT (ok = n OR visibility = 'F')) FROM s WHERE kind = 'order'
+UNION ALL SELECT 'order.spread', count(*), count(*), count(*) FILTER ((m <= 50 AND NOT regexp_matches(name, '99$')) IS NOT DISTINCT FROM false) FROM s WHERE kind = 'order'
+UNION ALL SELECT 'customer.busy', count(*), count(*), count(*) FILTER (NOT (open < 12 AND urgent)) FROM s WHERE kind = 'customer'""")
 def rule_report(g):
-    return rules.report(g.symbols, _RULES[:1])
+    return rules.report(g.symbols, _RULES)
 
 
 @add("""SELECT doc_id, CAST(len([x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '^\\s*(the|The)\\b')]) AS BIGINT) AS directives FROM documents""", graph=False)

@@ -226,9 +226,19 @@ def metric_noc(g):
     return metrics.inheritors(g.refs, ["located_in"])
 
 
-@add("""SELECT symbol_id, CASE kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END AS dit FROM sym WHERE kind IN ('region', 'nation', 'customer', 'supplier')""")
+@add("""SELECT symbol_id, CASE kind WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'supplier' THEN 2 ELSE 0 END AS dit FROM sym""")
 def metric_dit(g):
-    return metrics.depth_of_inheritance(g.symbols.filter("kind in ('region', 'nation', 'customer', 'supplier')"), g.refs, ["located_in"])
+    return metrics.depth_of_inheritance(g.symbols, g.refs, ["located_in"])
+
+
+@add(""", e AS (SELECT p_partkey AS s, p_partkey + CASE WHEN p_partkey % 20 = 0 THEN -4 ELSE 1 END AS t FROM part), c(s, x, way, n) AS (
+ SELECT p_partkey, p_partkey, [p_partkey], 0 FROM part UNION ALL SELECT c.s, CASE WHEN list_contains(way, t) THEN NULL ELSE t END, list_append(way, t), n + 1 FROM c JOIN e ON e.s = c.x) SELECT s AS symbol_id, max(n) AS dit FROM c GROUP BY 1""".replace(", e AS", "WITH RECURSIVE e AS", 1), graph=False)
+def metric_dit_chains(g):
+    """Chains of twenty parts that end in a cycle of five."""
+    p = g.table("part").select(F.col("p_partkey").alias("symbol_id"))
+    to = F.col("symbol_id") + F.when(F.col("symbol_id") % 20 == 0, -4).otherwise(1)
+    refs = p.select(F.col("symbol_id").alias("source_symbol_id"), to.alias("target_id"), F.lit("extends").alias("kind"))
+    return metrics.depth_of_inheritance(p, refs, ["extends"])
 
 
 @add(""", m AS (SELECT DISTINCT parent_id AS owner, l_partkey AS p, l_suppkey AS s FROM lin JOIN sym ON symbol_id = line_id), links AS (SELECT owner, p AS a, s AS k FROM m),
@@ -290,16 +300,9 @@ def _edges(g):
     return g.refs.filter("kind in ('calls', 'located_in')").select("reference_id", F.col("source_symbol_id").alias("s"), F.col("target_id").alias("t"))
 
 
-@add(f""", {_EDGES}, walk(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE kind = 'line' AND source_id % 100 = 7 UNION ALL SELECT DISTINCT t, depth + 1 FROM walk JOIN edges ON s = node WHERE depth < 3)
+@add(f""", {_EDGES}, walk(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE kind = 'line' UNION SELECT t, depth + 1 FROM walk JOIN edges ON s = node WHERE depth < 3)
 SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
 def path_shortest(g):
-    found, _ = graph.reach(_edges(g), g.symbols.filter("kind = 'line' and source_id % 100 = 7").select(F.col("symbol_id").alias("node")), 3)
-    return found.select("node", "depth")
-
-
-@add()
-def path_shortest_all(g):
-    """path_shortest from all lines; the SQL of that one starts from a hundredth of them."""
     found, _ = graph.reach(_edges(g), g.symbols.filter("kind = 'line'").select(F.col("symbol_id").alias("node")), 3)
     return found.select("node", "depth")
 
@@ -314,12 +317,12 @@ def path_verdict(g):
     return rows.select("identity", graph.verdict(hit, complete).alias("reachable"), graph.verdict(hit, complete, "no_path").alias("no_path"))
 
 
-@add(f""", {_EDGES}, fw(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE kind = 'line' AND source_id = 1007 UNION SELECT t, depth + 1 FROM fw JOIN edges ON s = node WHERE depth < 3),
+@add(f""", {_EDGES}, fw(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE kind = 'line' UNION SELECT t, depth + 1 FROM fw JOIN edges ON s = node WHERE depth < 3),
 bw(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE identity = 'region:ASIA' UNION SELECT s, depth + 1 FROM bw JOIN edges ON t = node WHERE depth < 3),
 f AS (SELECT node, min(depth) AS forward FROM fw GROUP BY 1), b AS (SELECT node, min(depth) AS backward FROM bw GROUP BY 1) SELECT node, forward, backward FROM f JOIN b USING (node) WHERE forward + backward <= 3""")
 def corridor(g):
     s = g.symbols
-    return graph.corridor(_edges(g), s.filter("kind = 'line' and source_id = 1007").select(F.col("symbol_id").alias("node")), s.filter("identity = 'region:ASIA'").select(F.col("symbol_id").alias("node")), 3)
+    return graph.corridor(_edges(g), s.filter("kind = 'line'").select(F.col("symbol_id").alias("node")), s.filter("identity = 'region:ASIA'").select(F.col("symbol_id").alias("node")), 3)
 
 
 @add(f""", {_EDGES}, cut AS (SELECT * FROM edges WHERE t NOT IN (SELECT symbol_id FROM sym WHERE kind = 'supplier')), walk(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE kind = 'line' UNION SELECT t, depth + 1 FROM walk JOIN cut ON s = node WHERE depth < 4)

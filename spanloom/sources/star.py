@@ -153,7 +153,7 @@ ord AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriori
 lin AS (SELECT *, {LINE} + l_orderkey * 1024 + seq AS line_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq FROM lineitem) JOIN ord ON l_orderkey = o_orderkey),
 sup AS (SELECT * FROM supplier JOIN nat ON s_nationkey = n_nationkey),
 prt AS (SELECT *, CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) AS key FROM part),
-sym AS (
+sym AS MATERIALIZED (
   SELECT {REGION} + r_regionkey AS symbol_id, 0 AS source_id, CAST(NULL AS BIGINT) AS parent_id, 'region:' || r_name AS identity, r_name AS name, 'region' AS kind, 'namespace' AS shape, 'public' AS visibility, '' AS srcset,
     CAST(NULL AS INT) AS start_line, CAST(NULL AS INT) AS end_line, 1 AS depth, true AS navigable, 'src/' || r_name || '.star' AS path FROM region
   UNION ALL SELECT {NATION} + n_nationkey, 100 + n_nationkey, {REGION} + n_regionkey, nation, n_name, 'nation', 'namespace', 'public', '', NULL, NULL, 2, true, 'src/' || n_name || '/nation.star' FROM nat
@@ -164,7 +164,7 @@ sym AS (
   UNION ALL SELECT {ORDER} + o_orderkey, 1000 + o_custkey, {CUSTOMER} + o_custkey, ord, CAST(o_orderkey AS VARCHAR), 'order', 'callable', o_orderstatus, o_orderpriority, 1, 1 + CAST(floor(o_totalprice / 10000) AS INT), 4, true, 'src/customers/' || (o_custkey % 10) || '/' || o_custkey || '.star' FROM ord
   UNION ALL SELECT line_id, 1000 + o_custkey, {ORDER} + l_orderkey, ord || '/line:' || seq, CAST(seq AS VARCHAR), 'line', 'value', l_linestatus, o_orderpriority,
     CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_linenumber END, CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_linenumber + CAST(floor(l_quantity) AS INT) END, 5, false, 'src/customers/' || (o_custkey % 10) || '/' || o_custkey || '.star' FROM lin),
-ref AS (
+ref AS MATERIALIZED (
   SELECT {1 << 52} + line_id AS reference_id, line_id AS source_symbol_id, 1000 + o_custkey AS source_id, 'brand:' || p_brand || '/part:' || l_partkey AS target_identity, 'uses_type' AS kind,
     CASE l_partkey % 17 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'external' WHEN 2 THEN 'candidate' WHEN 3 THEN 'dynamic' WHEN 4 THEN 'blocked' ELSE 'resolved' END AS status,
     CASE WHEN l_partkey % 17 > 4 THEN {PART} + l_partkey END AS target_id, CASE WHEN l_partkey % 17 IN (2, 3) THEN {PART} + l_partkey END AS candidate_id,
