@@ -103,14 +103,21 @@ def shared_signal(files: Column, contexts: Column, prefixes: Column, uses: Colum
     )
 
 
-def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_edges: int | None = None, avoid: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+def reach(
+    edges: DataFrame, sources: DataFrame, max_depth: int, max_edges: int | None = None, avoid: DataFrame | None = None, max_symbols: int | None = None
+) -> tuple[DataFrame, list[str]]:
     """Breadth-first search: (node, depth, via) of what is reached, and the limits that were hit.
 
     edges(reference_id, s, t), t null where a reference is not resolved; sources(node). Every level joins its frontier
     with the edges, admits references in ascending id up to max_edges in all, keeps the least reference as a
-    node's witness, and is written as a table. Without max_edges no order is needed and no window is built."""
+    node's witness, and is written as a table. Without max_edges no order is needed and no window is built. With
+    max_symbols, no more nodes are visited in all, sources included, those with the least witnesses first."""
     found = stage(sources.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via")).distinct())
     frontier, admitted, limits = found, 0, []
+    visited = 0
+    if max_symbols is not None and (visited := found.count()) > max_symbols:
+        found = frontier = stage(found.orderBy("node").limit(max_symbols))
+        return found, ["symbol_limit"]
     for d in range(1, max_depth + 2):
         out = edges.join(frontier.select(F.col("node").alias("s")), "s").filter("t is not null")
         if max_edges is not None:
@@ -131,16 +138,46 @@ def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_edges: int |
         if d > max_depth:  # looked ahead by one level, only to know that the depth was the limit
             limits.append("depth_limit")
             break
+        if max_symbols is not None:
+            n = step.count()
+            if visited + n > max_symbols:
+                limits.append("symbol_limit")
+                step = stage(step.orderBy("via", "node").limit(max_symbols - visited))
+            visited += n
         found, frontier = found.unionByName(step), step
-        if "edge_limit" in limits:
+        if limits:
             break
     return found, limits
 
 
-def corridor(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
+def coverage(refs: DataFrame, found: DataFrame, max_depth: int) -> DataFrame:
+    """One row on the references that a search looked at, those of nodes less deep than max_depth: total, decided (resolved
+    or external), resolved, external, candidate, dynamic, blocked, unresolved and percent, which is 100 where there are none."""
+    looked = refs.join(found.filter(F.col("depth") < max_depth).select(F.col("node").alias("source_symbol_id")), "source_symbol_id", "left_semi")
+    count = lambda *s: F.count_if(F.col("status").isin(*s))
+    out = looked.agg(F.count(F.lit(1)).alias("total"), count("resolved", "external").alias("decided"), *[count(s).alias(s) for s in ("resolved", "external", "candidate", "dynamic", "blocked", "unresolved")])
+    return out.withColumn("percent", F.expr("if(total = 0, 100, decided * 100 div total)"))
+
+
+def path(refs: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int, max_symbols: int | None = None, max_edges: int | None = None, min_coverage: int = 100, expect: str = "reachable") -> DataFrame:
+    """One row: hops to the nearest target or null, verdict, complete, limits, and the coverage of the search.
+
+    Absence is certain only if no limit was hit and at least min_coverage per cent of the references that were looked
+    at are decided: one that isn't resolved could lead to the target. Otherwise the verdict is null."""
+    edges = refs.select("reference_id", F.col("source_symbol_id").alias("s"), F.col("target_id").alias("t"))
+    found, limits = reach(edges, sources, max_depth, max_edges, max_symbols=max_symbols)
+    hit = found.join(targets.select("node"), "node", "left_semi").agg(F.min("depth").alias("hops"))
+    seen = coverage(refs, found, max_depth)
+    complete = F.lit(not limits) & (F.col("percent") >= min_coverage)
+    return hit.crossJoin(seen).select(  # one row each
+        "hops", verdict(F.col("hops").isNotNull(), complete, expect).alias("verdict"), complete.alias("complete"), F.lit(",".join(limits)).alias("limits"), *seen.columns
+    )
+
+
+def corridor(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int, max_symbols: int | None = None, max_edges: int | None = None) -> DataFrame:
     """(node, forward, backward) of all nodes on a path of at most max_depth from a source to a target."""
-    there, _ = reach(edges, sources, max_depth)
-    back, _ = reach(edges.filter("t is not null").select("reference_id", F.col("t").alias("s"), F.col("s").alias("t")), targets, max_depth)
+    there, _ = reach(edges, sources, max_depth, max_edges, max_symbols=max_symbols)
+    back, _ = reach(edges.filter("t is not null").select("reference_id", F.col("t").alias("s"), F.col("s").alias("t")), targets, max_depth, max_edges, max_symbols=max_symbols)
     return there.select("node", F.col("depth").alias("forward")).join(back.select("node", F.col("depth").alias("backward")), "node").filter(F.col("forward") + F.col("backward") <= max_depth)
 
 

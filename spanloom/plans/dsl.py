@@ -6,7 +6,7 @@ import difflib
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import identity as ident
@@ -118,6 +118,30 @@ def parse(text: str) -> Query:
     return q
 
 
+#: Fields that are part of the language but that nothing here acts on: a query with one is refused, not answered as if it weren't there.
+UNSUPPORTED = {
+    "symbol.search": "include_code context_lines", "symbol.detail": "context_lines", "rules.list": "profile lang", "rules.check": "profile report", "rules.applicable": "profile",
+    "change.context": "profile", "graph.corridor": "min_coverage", "identity.graph": "path", "metrics.coupling": "snapshot export", "resolution.audit": "cluster",
+    "notes": "id kind status title body created_by orphan",
+}
+
+
+def _refuse(q: Query) -> None:
+    for name in UNSUPPORTED.get(q.verb, "").split():
+        if name in q.values:
+            raise QueryError("unsupported_field", f"{name} of {q.verb}")
+    if q.verb == "notes" and q.one("action", "list") != "list":
+        raise QueryError("unsupported", f"notes {q.one('action')}; see spanloom.sources.files")
+    for name, known in (("direction", ("both", "incoming", "outgoing")), ("expect", ("reachable", "no_path")), ("include_internal", ("true", "false"))):
+        if q.one(name, known[0]) not in known:
+            raise QueryError("invalid_value", f"{name} must be one of {', '.join(known)}")
+
+
+def _in_language(identity: str, q: Query) -> Column:
+    """By the identity's language segment."""
+    return ident.segment(ident.segments(identity), "lang").isin(*q.values["lang"])
+
+
 def describe(spark, verb: str | None = None) -> DataFrame:
     rows = [(v.name, ",".join(v.fields), ",".join(v.required), v.paged) for v in VERBS.values() if verb in (None, v.name)]
     return spark.createDataFrame(rows, "verb string, fields string, required string, paged boolean")
@@ -129,6 +153,8 @@ def _faceted(symbols: DataFrame, q: Query) -> DataFrame:
         out = out.filter(ident.matches_glob("path", q.values["path"]))
     if q.one("include_non_navigable", "false") != "true" and q.verb.startswith("symbol."):
         out = out.filter("navigable")
+    if "lang" in q.values:
+        out = out.filter(_in_language("identity", q))
     if "srcset" in q.values:
         out = out.filter(F.col("srcset").isin(*q.values["srcset"]))
     kinds, shapes = q.values.get("kind", []), q.values.get("shape", [])
@@ -145,6 +171,7 @@ def run(text: str, symbols: DataFrame, refs: DataFrame, generation: int = 0, rul
     from spanloom.plans import rules
 
     q = parse(text)
+    _refuse(q)
     spark, relations = symbols.sparkSession, q.values.get("relation")
     limit, offset = q.number("limit", 80), search.resume(q.one("cursor"), generation)
 
@@ -158,6 +185,9 @@ def run(text: str, symbols: DataFrame, refs: DataFrame, generation: int = 0, rul
         rows = refs.filter(F.col("kind").isin(relations)) if relations else refs
         return rows.select("reference_id", F.col("source_symbol_id").alias("s"), F.col("target_id").alias("t"))
 
+    def budget(name: str) -> int | None:
+        return q.number(name, 1) if name in q.values else None
+
     match q.verb:
         case "query.describe":
             return describe(spark, q.one("verb"))
@@ -167,6 +197,7 @@ def run(text: str, symbols: DataFrame, refs: DataFrame, generation: int = 0, rul
         case "tree.children":
             deep = q.number("depth", 1) + (q.one("path", "").count("/") + 1 if q.one("path") else 0)
             rows = symbols.filter(F.col("path").startswith(q.one("path", "")))
+            rows = rows.filter(_in_language("identity", q)) if "lang" in q.values else rows
             return paged(rows.groupBy(F.substring_index("path", "/", deep).alias("folder")).agg(F.count(F.lit(1)).alias("defs"), F.count_distinct("path").alias("files")), ["folder"])
         case "symbol.search":
             rows = _faceted(symbols, q)
@@ -185,17 +216,22 @@ def run(text: str, symbols: DataFrame, refs: DataFrame, generation: int = 0, rul
             outgoing = graph.ends(symbols, refs).filter(ident.in_scope("source_identity", q.one("uri")) if deep else F.col("source_identity") == q.one("uri")).withColumn("direction", F.lit("outgoing"))
             wanted = {"incoming": incoming, "outgoing": outgoing}.get(q.one("direction", "both"))
             rows = wanted if wanted is not None else incoming.unionByName(outgoing)
+            if "lang" in q.values:
+                rows = rows.filter(_in_language("source_identity", q))
+            if "path" in q.values:
+                there = symbols.filter(ident.matches_glob("path", q.values["path"])).select(F.col("symbol_id").alias("source_symbol_id"))
+                rows = rows.join(there, "source_symbol_id", "left_semi")
             return paged(rows.select("direction", "kind", "source_identity", "target_identity", "status", "reference_id"), ["direction", "kind", "source_identity", "reference_id"])
         case "symbol.graph":
-            return graph.symbol_graph(symbols, refs, q.one("focus"), q.one("direction", "both"), relations, q.number("min_count", 1)).limit(limit)
+            rows = graph.symbol_graph(symbols, refs, q.one("focus"), q.one("direction", "both"), relations, q.number("min_count", 1))
+            rows = rows.filter("role <> 'internal'") if q.one("include_internal") == "false" else rows
+            return rows.orderBy(F.desc("n"), "role", "source_identity", "target_identity").limit(limit)
         case "graph.path":
-            found, limits = graph.reach(edges(), nodes("from"), q.number("max_depth", 8), q.number("max_edges", 100_000) if "max_edges" in q.values else None)
-            hit = found.join(nodes("to"), "node", "left_semi").agg(F.min("depth").alias("hops"))
-            complete = F.lit(not limits)
-            return hit.select("hops", graph.verdict(F.col("hops").isNotNull(), complete, q.one("expect", "reachable")).alias("verdict"), complete.alias("complete"), F.lit(",".join(limits)).alias("limits"))
+            rows = refs.filter(F.col("kind").isin(relations)) if relations else refs
+            return graph.path(rows, nodes("from"), nodes("to"), q.number("max_depth", 8), budget("max_symbols"), budget("max_edges"), q.number("min_coverage", 100), q.one("expect", "reachable"))
         case "graph.corridor":
             scoped = _faceted(symbols, q).select(F.col("symbol_id").alias("node"))
-            return graph.corridor(edges(), nodes("from"), nodes("to"), q.number("max_depth", 8)).join(scoped, "node", "left_semi")
+            return graph.corridor(edges(), nodes("from"), nodes("to"), q.number("max_depth", 8), budget("max_symbols"), budget("max_edges")).join(scoped, "node", "left_semi")
         case "identity.children":
             return graph.identity_children(symbols, q.one("prefix", "")).orderBy("segment")
         case "identity.graph":
@@ -207,12 +243,16 @@ def run(text: str, symbols: DataFrame, refs: DataFrame, generation: int = 0, rul
             return paged(linkage.audit(rows, ["kind", "status", "evidence", "reason"]), [F.desc("n"), "kind", "status", "evidence", "reason"])
         case "rules.list" | "rules.applicable":
             wanted = rules.profile(list(rule_set), q.values.get("rules", []))
+            wanted = [r for r in wanted if r.severity in q.values.get("severity", [r.severity])]
             if q.verb == "rules.applicable":
                 kind = ident.parse(q.one("focus"))[-1][0]
                 wanted = [r for r in wanted if r.kind == kind]
             return spark.createDataFrame([(r.rule_id, r.kind, r.severity, r.expr) for r in wanted], "rule_id string, kind string, severity string, expr string")
         case "rules.check":
-            return paged(rules.check(symbols, rules.profile(list(rule_set), q.values.get("rules", [])), refs), ["rule_id", "symbol_id"])
+            found = rules.check(symbols, rules.profile(list(rule_set), q.values.get("rules", [])), refs)
+            if "file" in q.values:
+                found = found.join(symbols.filter(F.col("path").isin(*q.values["file"])).select("symbol_id"), "symbol_id", "left_semi")
+            return paged(found, ["rule_id", "symbol_id"])
         case "notes":
             if note_table is None:
                 raise QueryError("unavailable", "no notes are loaded")

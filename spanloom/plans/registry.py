@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import change_queries, facet_queries, graph_queries, layout_queries
+from spanloom.plans import change_queries, facet_queries, graph_queries, layout_queries, verb_queries
 
-_PARTS = (facet_queries, graph_queries, change_queries, layout_queries)
+_PARTS = (facet_queries, graph_queries, change_queries, layout_queries, verb_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

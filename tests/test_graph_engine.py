@@ -188,3 +188,38 @@ def test_change_operators(spark):
     f = spark.createDataFrame([("def a():\n  x", "a"), ("def  b(): x", "b"), ("def b(): y", "b")], "t string, n string").select(changes.fingerprint(F.col("t"), F.col("n")).alias("h"))
     a, b, c = (r.h for r in f.collect())
     assert a == b != c
+
+
+def test_absence_is_only_certain_of_a_whole_search(spark):
+    columns = "reference_id long, source_symbol_id long, target_id long, status string"
+    nodes = lambda *ns: spark.createDataFrame([(n,) for n in ns], "node long")
+    known = [(1, 1, 2, "resolved"), (2, 2, 3, "resolved"), (3, 9, 4, "resolved")]
+    said = lambda rows, to, **how: graph.path(spark.createDataFrame(rows, columns), nodes(1), nodes(to), 5, **how).first()
+    assert (r := said(known, 3)).hops == 2 and r.verdict is True and r.percent == 100
+    assert (r := said(known, 4)).hops is None and r.verdict is False and r.complete and said(known, 4, expect="no_path").verdict is True
+    open_end = [*known, (4, 3, None, "unresolved"), (5, 2, None, "external")]
+    r = said(open_end, 4)
+    assert r.verdict is None and not r.complete and (r.total, r.decided, r.external, r.unresolved, r.percent) == (4, 3, 1, 1, 75)
+    assert said(open_end, 4, min_coverage=75).verdict is False
+    assert said(open_end, 3).verdict is True
+    r = said(known, 4, max_symbols=1)
+    assert r.verdict is None and r.limits == "symbol_limit"
+    assert said(known, 3, max_symbols=2).verdict is None and said(known, 3, max_symbols=3).verdict is True
+
+
+def test_fields_without_effect_are_refused(spark):
+    g = Graph(spark, SF)
+    for text in ("symbol.search x include_code:true", "rules.check profile:p", "resolution.audit cluster:1", "notes delete", "metrics.coupling from:a to:b export:x", "symbol.graph x direction:up"):
+        with pytest.raises(dsl.QueryError) as e:
+            dsl.run(text, g.symbols, g.refs)
+        assert e.value.code in ("unsupported_field", "unsupported", "invalid_value")
+
+
+def test_names_match_without_parameters_in_one_language_only(spark):
+    match = lambda a, b: one(spark, ident.bind_match("a", "b"), a=a, b=b)
+    assert match("lang:java/class:A/method:f(x)", "lang:java/class:A/function:f") and match("lang:c/class:A", "lang:c/path:A")
+    assert not match("lang:c/class:A/method:f(x)", "lang:c/class:A/method:f") and not match("lang:java/class:A/method:f", "lang:java/class:B/method:f")
+    quoted = "lang:python/path:`src/a.py`"
+    parts = lambda c: one(spark, c, u=quoted)
+    assert parts(ident.depth("u")) == 2 and parts(ident.parent("u")) == "lang:python" and parts(ident.last_kind("u")) == "path" and parts(ident.last_name("u")) == "src/a.py"
+    assert parts(ident.ancestors("u")) == ["lang:python", quoted] and parts(ident.child_of("u", "lang:python")) == "path:`src/a.py`"
