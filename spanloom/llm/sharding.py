@@ -10,8 +10,10 @@ from pyspark.sql.types import IntegerType
 
 from .common import NO_ID, row_id, stage, text_of
 
-#: Ranges a shard, keys sampled a range (expected), bytes beyond which a range is subdivided, as a multiple of its share, and rounds.
-FINE, SAMPLED, OVERFULL, ROUNDS = 32, 4, 4.0, 4
+#: Ranges a shard, keys sampled a range (expected), bytes beyond which a range is subdivided, as a multiple of its share.
+FINE, SAMPLED, OVERFULL = 32, 4, 4.0
+#: Groups of equal texts beyond this part of a shard are placed one by one.
+LARGE = 1 / 20
 
 
 def _range_of(splitters: np.ndarray):
@@ -44,9 +46,7 @@ def splitters(rows: DataFrame, ranges: int, total: int) -> np.ndarray:
     drawn = sorted(_sample(rows, F.lit(ranges * SAMPLED / max(total, 1))))
     found = drawn[SAMPLED - 1 :: SAMPLED]
     share = total / ranges
-    for _ in range(ROUNDS):
-        if not found:
-            break
+    while found:
         ranged = rows.withColumn("_range", _range_of(np.array(found, np.int64))("_key", "_tie"))
         weights = ranged.groupBy("_range").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).filter((F.col("w") > OVERFULL * share) & (F.col("n") > 1)).collect()
         if not weights:
@@ -60,14 +60,57 @@ def splitters(rows: DataFrame, ranges: int, total: int) -> np.ndarray:
     return np.array(found, np.int64).reshape(-1, 2)
 
 
+def _plan(big: list[tuple[int, int, int]], total: int, shards: int):
+    """big: (first place, bytes, bytes of a row) of the groups that are placed one by one, sorted; total: bytes of all rows.
+
+    Returns a function of places (numpy, in bytes from 0) to (shard, run). Groups go whole to the shard with the least
+    so far, largest first; only one larger than a shard is cut, between rows, into parts of at most a shard. The rest
+    fills the shards up to one level, in its own order. A run is a stretch of rows that lie together in a shard."""
+    share = max(total / shards, 1)
+    first = np.array([g[0] for g in big], np.int64)
+    weight = np.array([g[1] for g in big], np.int64)
+    row = np.array([g[2] for g in big], np.int64)
+    rows = weight // np.maximum(row, 1)
+    parts = np.maximum(1, np.ceil(weight / share)).astype(np.int64)
+    each = -(-rows // np.minimum(parts, np.maximum(rows, 1)))  # rows in a part
+    pieces = [(int(min(each[k], rows[k] - p * each[k]) * row[k]), k, p) for k in range(len(big)) for p in range(-(-int(rows[k]) // int(each[k])))]
+    load, to = np.zeros(shards), {}
+    for w, k, p in sorted(pieces, key=lambda x: (-x[0], x[1], x[2])):
+        to[k, p] = s = int(np.argmin(load))
+        load[s] += w
+    base = np.concatenate([[0], np.cumsum([sum(1 for q in pieces if q[1] == k) for k in range(len(big))])]).astype(np.int64)
+    target = np.array([to[k, p] for _, k, p in sorted(pieces, key=lambda x: (x[1], x[2]))], np.int64)
+    # the level up to which the rest fills: where what fits below it is the rest
+    rest, order = total - int(weight.sum()), np.sort(load)
+    filled = np.arange(1, shards + 1) * order - np.cumsum(order)
+    n = int(np.searchsorted(filled, rest, "right"))
+    level = (rest + order[:n].sum()) / max(n, 1)
+    ends = np.cumsum(np.maximum(level - load, 0))
+    gone = np.concatenate([[0], np.cumsum(weight)])
+
+    def place(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.searchsorted(first, at, "right") - 1
+        inside = (k >= 0) & (at < (first[k] + weight[k] if len(first) else 0))
+        shard = np.minimum(np.searchsorted(ends, at - gone[k + 1] + 0.5, "left"), shards - 1)
+        run = (k + 1) * 2 * shards + shard
+        if inside.any():
+            own = k[inside]
+            piece = base[own] + (at[inside] - first[own]) // row[own] // each[own]
+            shard[inside] = target[piece]
+            run[inside] = -1 - piece
+        return shard, run
+
+    return place
+
+
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null): one row for each input row.
 
     Sizes (bytes of the text and 16) are near equal in all shards. The sort key is a hash of the text, so equal texts lie
-    together and go to one shard, that of their first row, unless they weigh more than a twentieth of a shard; then
-    they are cut between rows. Splitters from a size-weighted sample cut the key space into ranges that are sorted
-    and added up in tasks of their own; a range's offset is the sum of the ranges before it. Shard and slot follow
-    from a record's place in the whole order, and shards differ by at most about the largest record or group. The
+    together and go to one shard. Groups over a twentieth of a shard, of which there are at most twenty a shard, are
+    dealt out one by one, whole unless they are larger than a shard; all else follows in its order and evens the
+    shards out, and a small group stays with its first row. Splitters from a size-weighted sample cut the key space into
+    ranges that are sorted and added up in tasks of their own; a range's offset is the sum of the ranges before it. The
     text itself is read once and not shuffled: the rows that move hold a key, an id and a size.
 
     Null text has no bytes. A null id sorts last and is carried along. Rows that repeat id and text each have a slot.
@@ -80,7 +123,6 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
             F.xxhash64(text).alias("_key"),
             # first more of the text, so that equal texts lie together, then the id
             F.shiftleft(F.xxhash64(F.md5(text)).bitwiseAND(0x7FFFFFFF), 32).bitwiseOR(F.xxhash64(row_id(id_col)).bitwiseAND(0xFFFFFFFF)).alias("_tie"),
-            F.md5(text).alias("_text"),
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
         )
@@ -98,20 +140,33 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     )
     order = "partition by _range order by _key, _tie, _id rows between unbounded preceding and 1 preceding"
     placed = ranged.withColumn("_w1", F.expr(f"coalesce(sum(size) over ({order}), 0)")).withColumn("_n1", F.expr(f"coalesce(count(1) over ({order}), 0)"))
-    placed = stage(placed.join(before, "_range").select("*", (F.col("_w0") + F.col("_w1")).alias("_at"), (F.col("_n0") + F.col("_n1")).alias("_row")))
-    groups = placed.groupBy("_key", "_text").agg(F.sum("size").alias("_group"), F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_members")).filter("_members > 1")
+    same = F.shiftright("_tie", 32).alias("_text")  # with the key, 95 bits of the text; the size tells further
+    placed = stage(placed.join(before, "_range").select("_id", "_key", same, "size", "text_crc32", (F.col("_w0") + F.col("_w1")).alias("_at"), (F.col("_n0") + F.col("_n1")).alias("_row")))
+    text_key = ["_key", "_text", "size"]
+    groups = placed.groupBy(*text_key).agg(F.sum("size").alias("_group"), F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_members")).filter("_members > 1")
+    groups = stage(groups)
     share = max(total / shards, 1)
-    small = F.col("_group") <= share / 20
-    placed = placed.join(groups, ["_key", "_text"], "left").withColumn("_from", F.when(small, F.col("_first")).otherwise(F.col("_at")))
-    sharded = stage(placed.select("_id", "size", "text_crc32", "_row", F.least(F.floor(F.col("_from") / F.lit(share)), F.lit(shards - 1)).cast("int").alias("shard")))
-    firsts = sharded.groupBy("shard").agg(F.min("_row").alias("_base"))
-    return sharded.join(F.broadcast(firsts), "shard").select(
+    large = F.col("_group") > share * LARGE
+    big = [tuple(r) for r in groups.filter(large).orderBy("_first").select("_first", "_group", "size").collect()]  # at most shards / LARGE
+    plan = _plan(big, total, shards)
+
+    @F.pandas_udf("shard int, run long")
+    def to_shard(at: pd.Series) -> pd.DataFrame:
+        found, run = plan(at.to_numpy(np.int64))
+        return pd.DataFrame({"shard": found.astype(np.int32), "run": run})
+
+    placed = placed.join(groups.filter(~large).select(*text_key, "_first"), text_key, "left").withColumn("_to", to_shard(F.coalesce("_first", "_at")))
+    sharded = stage(placed.select("_id", "size", "text_crc32", "_row", F.col("_to.shard").alias("shard"), F.col("_to.run").alias("_run")))
+    # runs: at most one for each part of a large group, and one for each shard and gap between them that it fills
+    runs = sharded.groupBy("shard", "_run").agg(F.min("_row").alias("_base"), F.count(F.lit(1)).alias("_n"))
+    runs = runs.select("shard", "_run", "_base", F.expr("coalesce(sum(_n) over (partition by shard order by _base rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
+    return sharded.join(F.broadcast(runs), ["shard", "_run"]).select(
         F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"),
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("_row") - F.col("_base")).alias("slot"),
+        (F.col("_row") - F.col("_base") + F.col("_before")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

@@ -20,7 +20,7 @@ def check(rows, out, shards):
     for r in out:
         groups[text_of[r.doc_id]] += r["size"]
         where[text_of[r.doc_id]].add(r.shard)
-    assert all(len(where[t]) == 1 for t, w in groups.items() if w <= share / 20)
+    assert all(len(where[t]) == 1 for t, w in groups.items() if w <= share or len([r for r in rows if r[1] == t]) == 1)
     most = max([size(t) for _, t in rows] + [w for w in groups.values() if w <= share / 20])
     assert all(abs(weight[k] - share) <= 2 * most + 1 for k in range(shards))
 
@@ -44,6 +44,14 @@ def test_a_hot_text_is_cut(spark):
     check(rows, sharding.shard(df, 8).collect(), 8)
 
 
+def test_groups_up_to_a_shard_stay_whole(spark):
+    rows = rows_of(2000)
+    share = sum(len((t or "").encode()) + 16 for _, t in rows) / 8
+    for part, text in ((0.6, "first group " * 9), (0.55, "second group " * 9), (0.9, "third group " * 3), (0.06, "fourth " * 9)):
+        rows += [(10**6 + len(rows) + i, text) for i in range(int(part * share / (len(text) + 16)))]
+    check(rows, sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).collect(), 8)
+
+
 def test_overfull_ranges_are_subdivided(spark):
     rows = spark.range(20_000).selectExpr("if(id < 15000, 7, id) as _key", "xxhash64(id) as _tie", "20L as size")
     total, ranges = 20_000 * 20, 64
