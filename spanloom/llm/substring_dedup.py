@@ -34,6 +34,8 @@ _CODED = re.compile(rb"[\x09-\x0D\xC0\xC1]|[\xF5-\xFE].|\xFF..|[^\x20]+\x20", re
 _SURVEYED = 16
 #: A minimiser is crowded from so many packed strings on; of the crowded ones no more than this many exist by count.
 CROWDED, _MOST_CROWDED = 100_000, 200_000
+#: So many different windows are compared under one minimiser in a task, at most.
+MOST_IN_BUCKET = 500_000
 #: So many words have codes, at most, by the share of all words that they need.
 _MOST_WORDS = 100_000
 
@@ -169,35 +171,55 @@ def _pack(batches, window: int, crowded, codes: dict[bytes, bytes]):
             )
 
 
-def _count(batches, window: int):
-    """Rows come sorted by (key, id, place). Windows seen before under the same key are repeated."""
-    now, seen = None, {}
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+def _count(batches, window: int, most: int):
+    """Rows come sorted by (key, id, place). Windows seen before under the same key are repeated: spans, with _to and no _pack.
+
+    Once a key has so many different windows, those seen and all that follow are handed on as single windows (_pack, no _to)
+    for another round; spans found before stay found."""
+    now, seen, full = None, {}, False
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+    names = ["_key", "_id", "_row", "_at", "_pack", "_to"]
+
+    def told(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], names)
+
     for batch in batches:
         out = []
-        for key, i, r, at, pack, to in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "_row", "_at", "_pack", "_to"))):
+        for key, i, r, at, pack, to in zip(*(batch.column(c).to_pylist() for c in names)):
             if pack is None:
-                out.append((i, r, at, to))
+                out.append((0, i, r, at, None, to))
                 continue
             if key != now:
-                now, seen = key, {}
+                now, seen, full = key, {}, False
             ends = [0, *(m.end() for m in _CODED.finditer(pack))]
             first = -1
             for k in range(len(ends) - window):
                 w = pack[ends[k] : ends[k + window]]
-                place = (i, at + k)
-                if seen.setdefault(w, place) < place:
+                if full:
+                    out.append((0, i, r, at + k, w, None))
+                    continue
+                place = (i, at + k, r)
+                if seen.setdefault(w, place)[:2] < place[:2]:
                     if first < 0:
                         first = at + k
                 elif first >= 0:
-                    out.append((i, r, first, at + k + window - 1))
+                    out.append((0, i, r, first, None, at + k + window - 1))
                     first = -1
+                if len(seen) >= most:
+                    if first >= 0:
+                        out.append((0, i, r, first, None, at + k + window))
+                        first = -1
+                    out += [(0, j, q, p, x, None) for x, (j, p, q) in seen.items()]
+                    seen, full = {}, True
             if first >= 0:
-                out.append((i, r, first, at + len(ends) - 1))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, kinds)], ["_id", "_row", "_at", "_to"])
+                out.append((0, i, r, first, None, at + len(ends) - 1))
+            if len(out) > 10_000:
+                yield told(out)
+                out = []
+        yield told(out)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, crowded_from: int = CROWDED) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, crowded_from: int = CROWDED, most: int = MOST_IN_BUCKET) -> DataFrame:
     """Spans of words, (_id, _row, _at, _to) from word _at up to before _to, covered by a window of words that
     also starts earlier: at a smaller id, or in the same document further ahead.
 
@@ -207,7 +229,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A task folds packed strings that it has sent before, keeping the earliest. Minimisers with more
     than crowded_from packed strings (estimated from every 16th document, which plans the work and has no
     influence on the result) send each window by the hash of the window itself, so that a phrase that a
-    third of the corpus holds is spread over all buckets; their number is bounded by raising the limit. The same
+    third of the corpus holds is spread over all buckets; their number is bounded by raising the limit. What
+    is still too much for a bucket, by its own count of `most` different windows, goes through a second round in which
+    windows are grouped as they are, so that no bucket holds more in memory, however large the corpus. The surveyed
     documents give the words that packed strings write as codes of one to three bytes. The coding can be undone
     word by word, so equal codes are equal words.
     """
@@ -223,7 +247,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     codes = {w: c for (_, w), c in zip(often, _CODES) if len(c) <= len(w)}
     packed = rows.mapInArrow(partial(_pack, window=window, crowded=crowded, codes=codes), _PACKED)
     in_buckets = packed.repartition("_key").sortWithinPartitions("_key", "_id", "_at")
-    return in_buckets.mapInArrow(partial(_count, window=window), "_id long, _row long, _at int, _to int")
+    found = stage(in_buckets.mapInArrow(partial(_count, window=window, most=most), _PACKED))
+    spans = found.filter("_pack is null").select("_id", "_row", "_at", "_to")
+    left = found.filter("_pack is not null")
+    if left.isEmpty():
+        return spans
+    firsts = left.groupBy("_pack").agg(F.min(F.struct("_id", "_at")).alias("_first"))
+    again = left.join(firsts, "_pack").filter(F.struct("_id", "_at") > F.col("_first"))
+    return spans.unionByName(again.select("_id", "_row", "_at", (F.col("_at") + window).alias("_to")))
 
 
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("words", LongType()), StructField("removed", LongType())]))
@@ -255,7 +286,7 @@ def words_sha256(texts: pd.Series) -> pd.Series:
     return pd.Series([hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in texts], dtype=object)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, crowded_from: int = CROWDED) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, crowded_from: int = CROWDED, most: int = MOST_IN_BUCKET) -> DataFrame:
     """The input's rows and columns, the text without its repeated words, plus n_words and n_removed.
 
     A word goes if a window of words that covers it also starts earlier (smaller id, or same document, earlier
@@ -267,7 +298,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are told apart by their text, and a window at the same place as its first occurrence is kept. Other
     columns are carried along. An empty table gives an empty result.
     """
-    spans = stage(repeated_spans(docs, id_col, text_col, window, crowded_from))
+    spans = repeated_spans(docs, id_col, text_col, window, crowded_from, most)
     release_shuffles(docs.sparkSession)
     # a document's spans come together here: they are bounded by its own length
     lists = spans.groupBy("_id", "_row").agg(F.collect_list(F.struct("_at", "_to")).alias("_s")).select("_id", "_row", "_s._at", "_s._to")

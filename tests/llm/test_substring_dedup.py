@@ -47,13 +47,13 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("crowded_from", [100_000, 20])
-def test_matches_brute_force(spark, crowded_from, monkeypatch):
+@pytest.mark.parametrize("crowded_from, most", [(100_000, 500_000), (20, 500_000), (100_000, 7), (20, 1)])
+def test_matches_brute_force(spark, crowded_from, most, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_SURVEYED", 1 if crowded_from < 100 else 16)
     monkeypatch.setattr(substring_dedup, "_REMEMBERED", 50)
     rows = cases()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = substring_dedup.substring_dedup(docs, crowded_from=crowded_from).collect()
+    out = substring_dedup.substring_dedup(docs, crowded_from=crowded_from, most=most).collect()
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, words_of(r.text)) for r in out)
     assert got == sorted((str(i), n, m, w) for i, n, m, w in brute(rows))
     assert sum(r.n_removed for r in out) > 2000
