@@ -23,7 +23,7 @@ from .simhash import _words
 
 #: Tokens a sequence; pieces that are packed together; bytes of text worked on at once; words remembered by a task, and their length.
 CAPACITY, BLOCK = 4096, 50_000
-_CHUNK, _REMEMBERED, _LONG = 1 << 22, 500_000, 100
+_CHUNK, _REMEMBERED, _LONG = 1 << 21, 400_000, 100
 
 #: A word of letters that are one code point each, in capitals and small, with signs behind it that are one token run of their own.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*) ")
