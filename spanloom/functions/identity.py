@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Names that hold one of these are quoted with back-ticks, and a back-tick in them is doubled.
 _SPECIAL = r"[/` \t\n\f\r]"
+#: The least that must be quoted to be read back; the star graph's identities leave blanks bare.
+BARE_BLANKS = "[/`]"
 _SEGMENT = r"[^/:`]+:(?:`(?:[^`]|``)*`|[^/`]*)"
 
 
@@ -43,10 +45,12 @@ def segments(identity: Column | str) -> Column:
     return F.transform(found, one)
 
 
-def serialise(segs: Column | str) -> Column:
+def serialise(segs: Column | str, special: str = _SPECIAL) -> Column:
+    """The identity as text; names that hold what special matches, and empty ones, are quoted."""
+
     def one(s: Column) -> Column:
         quoted = F.concat(F.lit("`"), F.replace(s["name"], F.lit("`"), F.lit("``")), F.lit("`"))
-        return F.concat(s["kind"], F.lit(":"), F.when(s["name"].rlike(_SPECIAL) | (s["name"] == ""), quoted).otherwise(s["name"]))
+        return F.concat(s["kind"], F.lit(":"), F.when(s["name"].rlike(special) | (s["name"] == ""), quoted).otherwise(s["name"]))
 
     return F.array_join(F.transform(_c(segs), one), "/")
 
