@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from spanloom.llm import line_dedup, near_copies, packing, substring_dedup, toxicity
 from spanloom.llm.common import stage
 
-#: The pipeline's shingles are of five words; the query op1 takes four, as its contract says.
-SHINGLE = 5
+#: The pipeline's shingles are of five words; the query op1 takes four, as its contract says. Fingerprints may differ in four bits, as there.
+SHINGLE, DISTANCE = 5, 4
 
 
 def _with_text(docs: DataFrame, changed: DataFrame, removed: str) -> DataFrame:
@@ -38,8 +38,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, with a Jaccard similarity of 0.8 or more, the document with the smallest id."""
-    return near_copies.keep_one(docs, shingle=SHINGLE)
+    """Of each group of near copies, by SimHash and similarity or by similarity alone, the document with the smallest id."""
+    return near_copies.keep_one(docs, shingle=SHINGLE, distance=DISTANCE)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

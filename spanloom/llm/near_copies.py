@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: an exact set join by prefixes, in order of hashes and then rarest first."""
+"""Near copies by SimHash fingerprints with a check of similarity, and by the Jaccard similarity of sets of word shingles for all that fingerprints miss.
+
+Fingerprints are linked as in simhash; sets by an exact join by prefixes, in order of hashes and then rarest first.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import release, release_shuffles, row_id, stage, text_of
 from .components import components
-from .simhash import shingle_hashes, text_chunks
+from .simhash import links as fingerprint_links
+from .simhash import majorities, shingle_hashes, text_chunks
 
 #: Sets are near copies if 5 * |both| >= 4 * |either|: a similarity of 0.8 or more, in whole numbers. The bands of sizes in _pairs are made for it.
 _NEAR = "9L * {both} >= 4L * (a._n + b._n)"
@@ -28,19 +32,43 @@ def _common(n):
     return n // 10 + 1
 
 
-def _set_batches(batches, shingle: int, heads: bool):
+def _numbered(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of hashes in order within each text: one hash of each and of how many like it came before in its text."""
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    at = np.arange(len(hashes))
+    before = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    x = before * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (x ^ (x >> np.uint64(29)))
+
+
+def _fps(hashes: np.ndarray, n: np.ndarray) -> list[int]:
+    """A hash of each text's hashes, of which n belong to each."""
+    ends = np.cumsum(n)
+    return [xxhash.xxh64_intdigest(hashes[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist())]
+
+
+def _set_batches(batches, shingle: int, heads: bool, repeats: bool):
     for batch in batches:
-        fps, counts, sets = [], [], []
+        fps, bags, sims, counts, sets = [], [], [], [], []
         for buf, offsets in text_chunks(batch.column("_text")):
             hashes, shingles = shingle_hashes(buf, offsets, shingle)
             text = np.repeat(np.arange(len(shingles)), shingles)
             order = np.lexsort((hashes, text))
+            if heads:
+                sims.append(majorities(hashes, shingles))
+                bags += _fps(hashes[order], shingles)
             hashes, text = hashes[order], text[order]
+            if repeats:
+                hashes = _numbered(hashes, text)
+                order = np.lexsort((hashes, text))
+                hashes = hashes[order]
             first = np.ones(len(hashes), bool)
             first[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
             hashes, n = hashes[first], np.bincount(text[first], minlength=len(shingles))
             ends = np.cumsum(n)
-            fps += [xxhash.xxh64_intdigest(hashes[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist())]
+            fps += _fps(hashes, n)
             counts.append(n)
             if heads:
                 hashes = hashes[np.arange(len(hashes)) - np.repeat(ends - n, n) < np.repeat(n - _least_of(n) + _common(n), n)]
@@ -48,18 +76,22 @@ def _set_batches(batches, shingle: int, heads: bool):
         n = np.concatenate(counts or [np.zeros(0, np.int64)])
         ends = np.concatenate([[0], np.cumsum(np.minimum(n, n - _least_of(n) + _common(n)) if heads else n)]).astype(np.int32)
         values = pa.array(np.concatenate(sets or [np.zeros(0, np.int64)]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), batch.column("_key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, values)],
-            ["_id", "_key", "_fp", "_n", "_set"],
-        )
+        columns = [batch.column("_id"), batch.column("_key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, values)]
+        names = ["_id", "_key", "_fp", "_n", "_set"]
+        if heads:
+            columns += [pa.array(np.array(bags, np.uint64).view(np.int64)), pa.array(np.concatenate(sims or [np.zeros(0, np.int64)]))]
+            names += ["_bag", "_sim"]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, heads: bool = False) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, heads: bool = False, repeats: bool = False) -> DataFrame:
     """(_id, _key, _fp, _n, _set) for each row: a hash of the text, one of its set of shingles, and the set's size and
     hashes. Words and short texts are as for fingerprints in simhash; a text without words has the empty set. With heads,
-    _set has only the smallest hashes: those among which the first _common(_n) common to any near copy are."""
+    _set has only the smallest hashes: those among which the first _common(_n) common to any near copy are; and there are
+    _bag, a hash of the shingles with their repeats, and _sim, the SimHash fingerprint, too. With repeats, a shingle's
+    second occurrence in a text counts as another shingle, and so on."""
     rows = docs.select(row_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_key"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(partial(_set_batches, shingle=shingle, heads=heads), "_id long, _key long, _fp long, _n int, _set array<long>")
+    return rows.mapInArrow(partial(_set_batches, shingle=shingle, heads=heads, repeats=repeats), "_id long, _key long, _fp long, _n int, _set array<long>" + ", _bag long, _sim long" * heads)
 
 
 def _shingles(sets: DataFrame) -> DataFrame:
@@ -111,22 +143,59 @@ def links(sets: DataFrame) -> DataFrame:
     return out
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def by_fingerprint(units: DataFrame, distance: int) -> DataFrame:
+    """units(_bag, _sim, _root, _least) -> (_u, _v, _least_u, _least_v, _root_u, _root_v): all pairs of bags with fingerprints
+    of at most distance differing bits that aren't in one group yet.
+
+    Fingerprints meet first, then their groups, and only those of different groups their bags."""
+    here = stage(units.select("_sim", "_root").distinct())
+    sims = here.select("_sim").distinct()
+    pairs = fingerprint_links(sims.select(F.col("_sim").alias("_fp")), distance).distinct().union(sims.select(F.col("_sim").alias("u"), F.col("_sim").alias("v")))
+    side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
+    met = pairs.withColumnsRenamed({"u": "_sim_u", "v": "_sim_v"}).join(side(here, "u"), "_sim_u").join(side(here, "v"), "_sim_v")
+    met = stage(met.filter("_sim_u <> _sim_v and _root_u <> _root_v or _root_u < _root_v"))
+    return met.join(side(units, "u"), ["_sim_u", "_root_u"]).join(side(units, "v"), ["_sim_v", "_root_v"]).select(
+        F.col("_bag_u").alias("_u"), F.col("_bag_v").alias("_v"), "_least_u", "_least_v", "_root_u", "_root_v"
+    )
+
+
+def _joined(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(u, v): the groups of those pairs that have a similarity of 0.8 or more with repeats counted."""
+    texts = pairs.select(F.col("_least_u").alias("_least")).union(pairs.select("_least_v")).distinct()
+    bags = shingle_sets(_rows_of(docs, texts, id_col, text_col), id_col, text_col, shingle, repeats=True)
+    keys = pairs.select(F.col("_least_u").alias("_least"), F.col("_u").alias("_bag")).union(pairs.select("_least_v", "_v")).distinct()
+    bags = bags.dropDuplicates(["_id", "_key"]).join(keys.select("_bag", F.col("_least._id").alias("_id"), F.col("_least._key").alias("_key")), ["_id", "_key"])
+    bags = stage(bags.select("_bag", "_n", "_set"))
+    a = pairs.join(bags.select(F.col("_bag").alias("_u"), F.col("_n").alias("_m"), F.col("_set").alias("_x")), "_u")
+    near = a.join(bags.withColumnRenamed("_bag", "_v"), "_v").filter("9L * size(array_intersect(_x, _set)) >= 4L * (_m + _n)")
+    out = stage(near.select(F.col("_root_u").alias("u"), F.col("_root_v").alias("v")).distinct())
+    release(bags)
+    return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4) -> DataFrame:
     """The input's rows that stay when of each group of near copies only one with the smallest id does.
 
-    Two texts are linked if their sets of shingles have a Jaccard similarity of 0.8 or more; groups are what is
-    reachable over links. Shingles are told apart by 64-bit hashes. Texts without words are alike. Rows that repeat
-    both the id and the text that stay, all stay. A null id counts as the largest. Columns are those of the input."""
+    Two texts are linked if their SimHash fingerprints differ in at most distance bits and their shingles have a Jaccard
+    similarity of 0.8 or more with repeats counted, as they count in the fingerprint; and, whatever their fingerprints,
+    if their sets of shingles have that similarity. Groups are what is reachable over links of both kinds. Shingles are
+    told apart by 64-bit hashes. Texts without words are alike. Rows that repeat both the id and the text that stay, all
+    stay. A null id counts as the largest. Columns are those of the input."""
     heads = stage(shingle_sets(docs, id_col, text_col, shingle, heads=True))
-    least = heads.groupBy("_fp").agg(F.min(F.struct("_id", "_key")).alias("_least"))
-    able = stage(least.join(_able(heads), "_fp").select("_fp", "_least"))
-    least = stage(least)
+    units = stage(heads.groupBy("_bag").agg(F.min("_fp").alias("_fp"), F.min("_sim").alias("_sim"), F.min(F.struct("_id", "_key")).alias("_least")))
+    able = stage(units.groupBy("_fp").agg(F.min("_least").alias("_least")).join(_able(heads), "_fp").select("_fp", "_least"))
     release(heads)
     release_shuffles(docs.sparkSession)
     found = links(shingle_sets(_rows_of(docs, able, id_col, text_col), id_col, text_col, shingle))
     release_shuffles(docs.sparkSession)
     roots = components(found)
-    named = least.join(roots, least._fp == roots.node, "left").select(F.coalesce("root", "_fp").alias("_root"), "_least")
+    units = stage(units.join(roots, units._fp == roots.node, "left").select("_bag", "_sim", "_least", F.coalesce("root", "_fp").alias("_root")))
+    pairs = stage(by_fingerprint(units, distance))
+    named = units
+    if not pairs.isEmpty():
+        more = components(_joined(docs, pairs, id_col, text_col, shingle))
+        named = units.join(more, units._root == more.node, "left").select(F.coalesce("root", "_root").alias("_root"), "_least")
+        release_shuffles(docs.sparkSession)
     kept = stage(named.groupBy("_root").agg(F.min("_least").alias("_least")))
     return _rows_of(docs, kept, id_col, text_col)
 

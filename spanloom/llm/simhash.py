@@ -60,9 +60,9 @@ def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[
     return hashes, shingles
 
 
-def _fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    out = np.zeros(len(offsets) - 1, np.int64)
-    hashes, shingles = shingle_hashes(buf, offsets, shingle)
+def majorities(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The fingerprints of texts, from what shingle_hashes gives."""
+    out = np.zeros(len(shingles), np.int64)
     if not len(hashes):
         return out
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
@@ -86,7 +86,7 @@ def text_chunks(text: pa.Array):
 
 def _fingerprint_batches(batches, shingle: int):
     for batch in batches:
-        found = [_fingerprints(buf, offsets, shingle) for buf, offsets in text_chunks(batch.column("_text"))]
+        found = [majorities(*shingle_hashes(buf, offsets, shingle)) for buf, offsets in text_chunks(batch.column("_text"))]
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))], ["_id", "_fp"])
 
 
