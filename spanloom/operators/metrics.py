@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.identity import ancestors
+from spanloom.functions.identity import ancestors, depth
 from spanloom.functions.staging import stage
 
 
@@ -35,12 +35,22 @@ def rfc(symbols: DataFrame, refs: DataFrame, calls: list[str]) -> DataFrame:
 
 def cbo(symbols: DataFrame, refs: DataFrame, kind: str, bucket_depth: int) -> DataFrame:
     """For owners of a kind: distinct outside buckets that references of their subtree go to or come from. A bucket is
-    the other end's identity cut to a depth; prefixes are exploded, so the subtree is an equi-join."""
+    the other end's identity cut to a depth; prefixes are exploded, so the subtree is an equi-join.
+
+    Only prefixes as deep as some owner can be one, and an end lies outside an owner that isn't among its own prefixes:
+    so ends are cut to those and to their bucket before they travel, and pairs are folded where they lie."""
     owners = symbols.filter(F.col("kind") == kind).select(F.col("symbol_id").alias("owner"), F.col("identity").alias("own"))
-    both = refs.join(symbols.select(F.col("symbol_id").alias("source_symbol_id"), F.col("identity").alias("si")), "source_symbol_id").select("si", F.col("target_identity").alias("ti"))
-    sides = both.select(F.col("si").alias("inner"), F.col("ti").alias("outer")).union(both.select(F.col("ti").alias("inner"), F.col("si").alias("outer")))
-    touched = sides.select(F.explode(ancestors("inner")).alias("own"), "outer").join(owners, "own").filter("not (outer = own or startswith(outer, concat(own, '/')))")
-    n = touched.groupBy("owner").agg(F.count_distinct(F.substring_index("outer", "/", bucket_depth)).alias("n"))
+    deep = F.broadcast(owners.agg(F.collect_set(depth("own")).alias("_deep")))
+
+    def end(df: DataFrame, identity: str, prefixes: str, bucket: str, *keep: str) -> DataFrame:
+        up = F.filter(ancestors(identity), lambda _, i: F.array_contains("_deep", i + 1))
+        return df.crossJoin(deep).select(*keep, up.alias(prefixes), F.substring_index(identity, "/", bucket_depth).alias(bucket))
+
+    source = end(symbols.select(F.col("symbol_id").alias("source_symbol_id"), "identity"), "identity", "si", "sb", "source_symbol_id")
+    target = end(refs.select("source_symbol_id", "target_identity"), "target_identity", "ti", "tb", "source_symbol_id")
+    both = target.join(source, "source_symbol_id").select(F.explode(F.array(*[F.struct(F.col(a).alias("inner"), F.col(b).alias("outer"), F.col(c).alias("bucket")) for a, b, c in (("si", "ti", "tb"), ("ti", "si", "sb"))])).alias("x")).select("x.*")
+    touched = both.select(F.explode("inner").alias("own"), "outer", "bucket").filter(~F.array_contains("outer", F.col("own"))).select("own", "bucket").distinct()
+    n = touched.join(owners, "own").groupBy("owner").agg(F.count_distinct("bucket").alias("n"))
     return owners.join(n, "owner", "left").select(F.col("owner").alias("symbol_id"), F.coalesce("n", F.lit(0)).alias("cbo"))
 
 

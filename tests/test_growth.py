@@ -71,3 +71,19 @@ def test_lines_of_orders_without_a_customer_have_no_references(spark, tmp_path):
     lines = g.symbols.filter("kind = 'line'").select("symbol_id").distinct()
     assert lines.count() > 0
     assert g.refs.filter("kind in ('uses_type', 'calls')").join(lines, F.col("source_symbol_id") == F.col("symbol_id"), "left_anti").count() == 0
+
+
+def test_cbo_of_owners_at_several_depths(spark):
+    ids = {1: ("a:x", "a"), 2: ("a:x/b:y", "o"), 3: ("a:x/b:y/c:z", "c"), 4: ("a:x/b:w", "c"), 5: ("a:v/b:u/c:t", "o"), 6: ("a:v/b:`s/r`", "o"), 7: ("a:v/b:`s/r`/c:q", "c")}
+    links = [(3, "a:x/b:w"), (3, "a:v/b:u/c:t"), (4, "a:x/b:y/c:z"), (5, "a:x/b:y"), (7, "a:x/b:w"), (7, "a:v/b:`s/r`"), (2, None), (1, "a:x/b:y/c:z")]
+    symbols = spark.createDataFrame([(k, i, kind) for k, (i, kind) in ids.items()], "symbol_id long, identity string, kind string")
+    refs = spark.createDataFrame(links, "source_symbol_id long, target_identity string")
+    ends = [(ids[s][0], t) for s, t in links if t is not None]
+    under = lambda i, own: i == own or i.startswith(own + "/")
+    want = {k: len({"/".join(o.split("/")[:2]) for a, b in [*ends, *[(t, s) for s, t in ends]] for i, o in [(a, b)] if under(i, own) and not under(o, own)}) for k, (own, kind) in ids.items() if kind == "o"}
+    got = metrics.cbo(symbols, refs, "o", 2)
+    assert {r.symbol_id: r.cbo for r in got.collect()} == want and max(want.values()) > 1
+    # prefixes are folded to owner's depths and short buckets before the join
+    for line in plan(built(spark, "metric_cbo")).splitlines():
+        if "hashpartitioning(source_symbol_id" in line or "hashpartitioning(symbol_id" in line:
+            assert "identity#" not in line
