@@ -111,15 +111,27 @@ def reach(
     edges(reference_id, s, t), t null where a reference is not resolved; sources(node). Every level joins its frontier
     with the edges, admits references in ascending id up to max_edges in all, keeps the least reference as a
     node's witness, and is written as a table. Without max_edges no order is needed and no window is built. With
-    max_symbols, no more nodes are visited in all, sources included, those with the least witnesses first."""
+    max_symbols, no more nodes are visited in all, sources included, those with the least witnesses first. The edges are
+    staged, as every level reads them."""
+    return _reach(_bound(edges), sources, max_depth, max_edges, avoid, max_symbols)
+
+
+def _bound(edges: DataFrame) -> DataFrame:
+    return stage(edges.filter("t is not null").select("reference_id", "s", "t"))
+
+
+def _reach(
+    edges: DataFrame, sources: DataFrame, max_depth: int, max_edges: int | None = None, avoid: DataFrame | None = None, max_symbols: int | None = None, ahead: int = 1
+) -> tuple[DataFrame, list[str]]:
+    """reach over staged edges without nulls; with ahead 0 it isn't told whether the depth was the limit."""
     found = stage(sources.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via")).distinct())
     frontier, admitted, limits = found, 0, []
     visited = 0
     if max_symbols is not None and (visited := found.count()) > max_symbols:
         found = frontier = stage(found.orderBy("node").limit(max_symbols))
         return found, ["symbol_limit"]
-    for d in range(1, max_depth + 2):
-        out = edges.join(frontier.select(F.col("node").alias("s")), "s").filter("t is not null")
+    for d in range(1, max_depth + 1 + ahead):
+        out = edges.join(frontier.select(F.col("node").alias("s")), "s")
         if max_edges is not None:
             left = max_edges - admitted
             kept = stage(out.orderBy("reference_id").limit(left + 1))
@@ -176,8 +188,9 @@ def path(refs: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int
 
 def corridor(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int, max_symbols: int | None = None, max_edges: int | None = None) -> DataFrame:
     """(node, forward, backward) of all nodes on a path of at most max_depth from a source to a target."""
-    there, _ = reach(edges, sources, max_depth, max_edges, max_symbols=max_symbols)
-    back, _ = reach(edges.filter("t is not null").select("reference_id", F.col("t").alias("s"), F.col("s").alias("t")), targets, max_depth, max_edges, max_symbols=max_symbols)
+    bound = _bound(edges)
+    there, _ = _reach(bound, sources, max_depth, max_edges, max_symbols=max_symbols, ahead=0)
+    back, _ = _reach(bound.select("reference_id", F.col("t").alias("s"), F.col("s").alias("t")), targets, max_depth, max_edges, max_symbols=max_symbols, ahead=0)
     return there.select("node", F.col("depth").alias("forward")).join(back.select("node", F.col("depth").alias("backward")), "node").filter(F.col("forward") + F.col("backward") <= max_depth)
 
 

@@ -87,3 +87,14 @@ def test_cbo_of_owners_at_several_depths(spark):
     for line in plan(built(spark, "metric_cbo")).splitlines():
         if "hashpartitioning(source_symbol_id" in line or "hashpartitioning(symbol_id" in line:
             assert "identity#" not in line
+
+
+def test_edges_are_staged_once_for_a_corridor(spark, monkeypatch):
+    from spanloom.operators import graph
+
+    written = []
+    monkeypatch.setattr(graph, "stage", lambda df, f=graph.stage: written.append(df.columns) or f(df))
+    edges = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 3, 4), (4, 4, None)], "reference_id long, s long, t long")
+    node = lambda k: spark.createDataFrame([(k,)], "node long")
+    assert {(r.node, r.forward, r.backward) for r in graph.corridor(edges, node(1), node(3), 2).collect()} == {(1, 0, 2), (2, 1, 1), (3, 2, 0)}
+    assert written.count(["reference_id", "s", "t"]) == 1 and len(written) <= 7
