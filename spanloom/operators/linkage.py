@@ -29,6 +29,14 @@ def prefer(rows: DataFrame, ref: str, better: Column) -> DataFrame:
     return rows.withColumn("_better", better.cast("int")).withColumn("_any", flag).filter("_better = _any").drop("_better", "_any")
 
 
+def prefer_once(candidates: DataFrame, key: str, better: Column) -> DataFrame:
+    """As prefer, for candidates that all references of a key share: each group is looked at once, and not once for
+    each reference. A key that is null joins nothing and is left out."""
+    rows = candidates.filter(F.col(key).isNotNull()).withColumn("_better", better.cast("int"))
+    best = rows.groupBy(key).agg(F.max("_better").alias("_any"))
+    return rows.join(best, key).filter("_better = _any").drop("_better", "_any")
+
+
 def authorise(source_group: Column, target_group: Column) -> Column:
     """Equal groups allow; different ones, or one alone, block; without any the manifests decide."""
     return F.when(source_group.isNull() & target_group.isNull(), "defer").when(source_group.eqNullSafe(target_group), "allowed").otherwise("blocked")

@@ -30,10 +30,14 @@ def linkage_cascade(g):
 
 @add("""SELECT a.s_suppkey AS ref, b.s_suppkey AS candidate FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE (b.s_acctbal > 5000) = (SELECT bool_or(c.s_acctbal > 5000) FROM supplier c WHERE c.s_nationkey = a.s_nationkey)""", graph=False)
 def concrete_over_alias(g):
-    """Suppliers of a nation stand for candidates; those with a high balance are concrete and push the others out."""
-    s = g.table("supplier")
-    rows = s.select(F.col("s_suppkey").alias("ref"), "s_nationkey").join(s.select(F.col("s_suppkey").alias("candidate"), "s_nationkey", "s_acctbal"), "s_nationkey")
-    return linkage.prefer(rows, "ref", F.col("s_acctbal") > 5000).select("ref", "candidate")
+    """Suppliers of a nation stand for candidates; those with a high balance are concrete and push the others out.
+
+    All suppliers of a nation have the same candidates, so these are chosen a nation, before they are paired, and no
+    window over the pairs is needed. Pairs are as many as the result's rows; a nation's are made in parts."""
+    s = g.table("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    chosen = linkage.prefer_once(s, "s_nationkey", F.col("s_acctbal") > 5000).select(F.col("s_suppkey").alias("candidate"), "s_nationkey", F.explode(F.expr("sequence(0, 31)")).alias("part"))
+    rows = s.select(F.col("s_suppkey").alias("ref"), "s_nationkey", F.pmod(F.hash("s_suppkey"), F.lit(32)).alias("part"))
+    return rows.join(chosen, ["s_nationkey", "part"]).select("ref", "candidate")
 
 
 @add("""SELECT l_orderkey, bool_or(p = 'allowed') AS any_allowed, bool_or(p = 'blocked') AS any_blocked, bool_or(p = 'unknown') AS any_unknown,

@@ -98,3 +98,10 @@ def test_edges_are_staged_once_for_a_corridor(spark, monkeypatch):
     node = lambda k: spark.createDataFrame([(k,)], "node long")
     assert {(r.node, r.forward, r.backward) for r in graph.corridor(edges, node(1), node(3), 2).collect()} == {(1, 0, 2), (2, 1, 1), (3, 2, 0)}
     assert written.count(["reference_id", "s", "t"]) == 1 and len(written) <= 7
+
+
+def test_candidates_are_chosen_before_they_are_paired(spark, tmp_path):
+    df = built(spark, "concrete_over_alias")
+    assert "Window" not in plan(df)
+    rows = spark.createDataFrame([(1, 9.0), (1, 1.0), (1, None), (2, 1.0), (2, 2.0), (2, None), (3, None), (None, 9.0)], "k int, x double")
+    assert sorted((r.k, r.x) for r in linkage.prefer_once(rows, "k", F.col("x") > 5).collect()) == [(1, 9.0), (2, 1.0), (2, 2.0)]
