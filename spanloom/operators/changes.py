@@ -55,19 +55,27 @@ def retarget(targets: DataFrame, renames: DataFrame) -> DataFrame:
     return best.select("identity", F.concat("r.new", F.expr("substring(identity, length(r.old) + 1)")).alias("mapped"))
 
 
-def uncovered(hunks: DataFrame, explained: DataFrame, key: str) -> DataFrame:
-    """hunks and explained (key, start, end), end exclusive -> the parts of hunks that nothing explains.
+def uncovered_pieces(hunks: DataFrame, explained: DataFrame, key: str) -> DataFrame:
+    """hunks and explained (key, start, end), end exclusive -> the parts of hunks that nothing explains, cut wherever
+    anything starts or ends.
 
     Starts and ends are events of a sweep in each key's own window; a part runs where hunks are open and explanations
-    are not."""
+    are not. Events at one place have the same sums (a range frame takes all of them), and only the last of them has a
+    successor elsewhere, so they need not be folded first: one exchange by key, one sort, no table of groups. Empty
+    spans, and those without an end, hold no lines."""
     def events(df: DataFrame, h: int, e: int) -> DataFrame:
-        return df.select(key, F.col("start").alias("at"), F.lit(h).alias("h"), F.lit(e).alias("e")).union(df.select(key, F.col("end"), F.lit(-h), F.lit(-e)))
+        ends = F.explode(F.array(*[F.struct(F.col(c).alias("at"), F.lit(h * k).alias("h"), F.lit(e * k).alias("e")) for c, k in (("start", 1), ("end", -1))]))
+        return df.filter("start < end").select(key, ends.alias("x")).select(key, "x.*")
 
-    points = events(hunks, 1, 0).union(events(explained, 0, 1)).groupBy(key, "at").agg(F.sum("h").alias("h"), F.sum("e").alias("e"))
+    points = events(hunks, 1, 0).union(events(explained, 0, 1))
     w = f"over (partition by `{key}` order by at)"
     swept = points.select(key, F.col("at").alias("start"), F.expr(f"lead(at) {w}").alias("end"), F.expr(f"sum(h) {w}").alias("h"), F.expr(f"sum(e) {w}").alias("e"))
-    open_ = swept.filter("h > 0 and e = 0 and end > start")
-    runs = open_.withColumn("fresh", F.expr(f"coalesce(lag(end) over (partition by `{key}` order by start) <> start, true)").cast("int"))
+    return swept.filter("h > 0 and e = 0 and end > start").select(key, "start", "end")
+
+
+def uncovered(hunks: DataFrame, explained: DataFrame, key: str) -> DataFrame:
+    """The pieces with those that meet made one."""
+    runs = uncovered_pieces(hunks, explained, key).withColumn("fresh", F.expr(f"coalesce(lag(end) over (partition by `{key}` order by start) <> start, true)").cast("int"))
     runs = runs.withColumn("run", F.expr(f"sum(fresh) over (partition by `{key}` order by start)"))
     return runs.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 

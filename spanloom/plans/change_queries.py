@@ -135,8 +135,8 @@ _EXPL = "SELECT DISTINCT l_orderkey AS k, l_linenumber AS a, l_linenumber + CAST
 @add(f""", h AS (SELECT DISTINCT k, unnest(range(a, b)) AS x FROM ({_HUNKS})), e AS (SELECT DISTINCT k, unnest(range(a, b)) AS x FROM ({_EXPL})) SELECT k, count(*) AS uncovered_lines FROM (SELECT * FROM h EXCEPT SELECT * FROM e) GROUP BY 1""")
 def hunk_coverage(g):
     l = g.table("lineitem")
-    part = lambda cond, q: l.filter(cond).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("start"), F.expr(f"l_linenumber + cast({q} as int)").alias("end")).distinct()
-    left = changes.uncovered(part("l_returnflag = 'R'", "l_quantity"), part("l_linestatus = 'O' and l_quantity >= 2", "l_quantity / 2"), "k")
+    part = lambda cond, q: l.filter(cond).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("start"), F.expr(f"l_linenumber + cast({q} as int)").alias("end"))
+    left = changes.uncovered_pieces(part("l_returnflag = 'R'", "l_quantity"), part("l_linestatus = 'O' and l_quantity >= 2", "l_quantity / 2"), "k")
     return left.groupBy("k").agg(F.sum(F.col("end") - F.col("start")).alias("uncovered_lines"))
 
 

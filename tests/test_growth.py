@@ -105,3 +105,17 @@ def test_candidates_are_chosen_before_they_are_paired(spark, tmp_path):
     assert "Window" not in plan(df)
     rows = spark.createDataFrame([(1, 9.0), (1, 1.0), (1, None), (2, 1.0), (2, 2.0), (2, None), (3, None), (None, 9.0)], "k int, x double")
     assert sorted((r.k, r.x) for r in linkage.prefer_once(rows, "k", F.col("x") > 5).collect()) == [(1, 9.0), (2, 1.0), (2, 2.0)]
+
+
+def test_uncovered_lines_by_one_exchange(spark):
+    text = plan(built(spark, "hunk_coverage"))
+    assert text.count("Exchange hashpartitioning") == 1
+    h = [(1, 0, 10), (1, 0, 10), (1, 5, 12), (1, 20, 18), (1, 30, None), (2, 3, 3), (2, 4, 6), (2, 6, 8)]
+    e = [(1, 2, 4), (1, 2, 4), (1, 11, 40), (1, 9, 7), (2, None, 5)]
+    spans = lambda rows: spark.createDataFrame(rows, "k int, start int, end int")
+    lines = lambda rows: {(k, x) for k, a, b in rows if a is not None and b is not None for x in range(a, b)}
+    want = lines(h) - lines(e)
+    got = [(r.k, x) for r in changes.uncovered_pieces(spans(h), spans(e), "k").collect() for x in range(r.start, r.end)]
+    assert len(got) == len(set(got)) and set(got) == want
+    merged = [(r.k, r.start, r.end) for r in changes.uncovered(spans(h), spans(e), "k").collect()]
+    assert sorted(merged) == [(1, 0, 2), (1, 4, 11), (2, 4, 8)]
