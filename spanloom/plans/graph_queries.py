@@ -65,6 +65,8 @@ SELECT symbol_id, coalesce(uses, 0) AS uses, coalesce(files, 0) AS files, coales
  CASE WHEN coalesce(uses, 0) = 0 THEN 'unused' WHEN files >= 3 AND contexts >= 3 AND prefixes >= 2 THEN 'candidate' WHEN files <= 1 OR dominant * 100 >= 80 * uses THEN 'localized' ELSE 'mixed' END AS signal
 FROM sym LEFT JOIN a ON symbol_id = a.target_id LEFT JOIN d ON symbol_id = d.target_id WHERE kind = 'part'""")
 def usage_summary(g):
+    """A target's uses are brought together once and sorted by each column in turn: a value counts where its run starts.
+    Hashed distinct counts would hold every use three times over, with all columns, on either side of the exchange."""
     s = g.symbols.select(F.col("symbol_id").alias("source_symbol_id"), "parent_id", graph.cut(F.col("identity"), 2).alias("prefix"))
     used = g.refs.filter("status = 'resolved' and kind = 'uses_type'").join(s, "source_symbol_id")
     a = used.groupBy("target_id").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("source_id").alias("files"), F.count_distinct("parent_id").alias("contexts"), F.count_distinct("prefix").alias("prefixes"))
@@ -275,22 +277,22 @@ _R = "SELECT l_orderkey AS owner, l_suppkey AS value, count(*) AS n FROM lineite
 
 
 def _sides(g):
-    l = g.table("lineitem")
-    return multiset.counts(l.filter("l_returnflag = 'R'"), "l_orderkey", "l_suppkey"), multiset.counts(l.filter("l_linestatus = 'O'"), "l_orderkey", "l_suppkey")
+    return multiset.sides(g.table("lineitem"), "l_orderkey", "l_suppkey", F.col("l_returnflag") == "R", F.col("l_linestatus") == "O")
 
 
 @add(f""", l AS ({_L}), r AS ({_R}), b AS (SELECT owner, value, coalesce(l.n, 0) AS l, coalesce(r.n, 0) AS r FROM l FULL JOIN r USING (owner, value))
 SELECT 'intersect' AS op, owner, value, least(l, r) AS n FROM b WHERE least(l, r) > 0 UNION ALL SELECT 'union', owner, value, greatest(l, r) FROM b UNION ALL SELECT 'diff', owner, value, l - r FROM b WHERE l > r""")
 def multiset_algebra(g):
-    l, r = _sides(g)
-    tag = lambda op, df: df.select(F.lit(op).alias("op"), "owner", "value", "n")
-    return tag("intersect", multiset.intersect(l, r)).union(tag("union", multiset.union(l, r))).union(tag("diff", multiset.difference(l, r)))
+    """All three from the same counts, which are made once."""
+    l, r = F.col("l"), F.col("r")
+    row = lambda op, n: F.struct(F.lit(op).alias("op"), n.alias("n"))
+    ops = F.array_compact(F.array(F.when(F.least(l, r) > 0, row("intersect", F.least(l, r))), row("union", F.greatest(l, r)), F.when(l > r, row("diff", l - r))))
+    return _sides(g).select("owner", "value", F.explode(ops).alias("x")).select("x.op", "owner", "value", "x.n")
 
 
 @add(f""", l AS ({_L}), r AS ({_R}), b AS (SELECT owner, value, coalesce(l.n, 0) AS l, coalesce(r.n, 0) AS r FROM l FULL JOIN r USING (owner, value)) SELECT owner, bool_and(l <= r) AS subset, CAST(sum(l) AS BIGINT) AS size FROM b GROUP BY 1""")
 def multiset_subset(g):
-    l, r = _sides(g)
-    return multiset.subset(l, r).join(multiset.size(l), "owner", "left").select("owner", "subset", F.coalesce("size", F.lit(0)).alias("size"))
+    return _sides(g).groupBy("owner").agg(F.bool_and(F.col("l") <= F.col("r")).alias("subset"), F.sum("l").alias("size"))
 
 
 _EDGES = "edges AS (SELECT source_symbol_id AS s, target_id AS t FROM ref WHERE kind IN ('calls', 'located_in') AND target_id IS NOT NULL)"

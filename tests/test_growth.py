@@ -119,3 +119,11 @@ def test_uncovered_lines_by_one_exchange(spark):
     assert len(got) == len(set(got)) and set(got) == want
     merged = [(r.k, r.start, r.end) for r in changes.uncovered(spans(h), spans(e), "k").collect()]
     assert sorted(merged) == [(1, 0, 2), (1, 4, 11), (2, 4, 8)]
+
+
+def test_multisets_are_counted_once(spark):
+    assert len(built(spark, "multiset_algebra").inputFiles()) == 1 and "Join" not in plan(built(spark, "multiset_algebra"))
+    rows = [(1, 5, "R", "O"), (1, 5, "R", "F"), (1, 6, "A", "O"), (None, 5, "R", "O"), (1, None, "R", "O"), (2, 7, "A", "F"), (2, 8, None, "O")]
+    df = spark.createDataFrame(rows, "o int, v int, f string, s string")
+    got = Counter((r.owner, r.value, r.l, r.r) for r in multiset.sides(df, "o", "v", F.col("f") == "R", F.col("s") == "O").collect())
+    assert got == Counter([(1, 5, 2, 1), (1, 6, 0, 1), (None, 5, 1, 0), (None, 5, 0, 1), (1, None, 1, 0), (1, None, 0, 1), (2, 8, 0, 1)])
