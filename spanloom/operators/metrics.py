@@ -64,13 +64,14 @@ def depth_of_inheritance(symbols: DataFrame, refs: DataFrame, relations: list[st
     step by which a chain comes back to a symbol that is already on it, where it ends.
 
     Levels are joined one by one, each written as a table, until no chain grows. A chain carries the symbols on
-    it, so that cycles end and no bound on the depth is needed."""
-    edges = refs.filter(F.col("kind").isin(relations)).select(F.col("source_symbol_id").alias("s"), F.col("target_id").alias("t")).distinct()
+    it, so that cycles end and no bound on the depth is needed. Both sides grow with the symbols, and chains are far
+    larger than their files: they are merged, never broadcast, so that nothing passes through the driver."""
+    edges = stage(refs.filter(F.col("kind").isin(relations)).select(F.col("source_symbol_id").alias("s"), F.col("target_id").alias("t")).distinct())
     first = stage(symbols.select("symbol_id", F.col("symbol_id").alias("at"), F.array("symbol_id").alias("on")))
     best, chain, n = first.select("symbol_id", F.lit(0).alias("n")), first, 0
     while True:
         n += 1
-        grown = stage(chain.join(edges, F.col("at") == F.col("s")).select("symbol_id", F.col("t").alias("at"), "on"))
+        grown = stage(chain.join(edges.hint("merge"), F.col("at") == F.col("s")).select("symbol_id", F.col("t").alias("at"), "on"))
         if grown.isEmpty():
             break
         best = best.unionByName(grown.select("symbol_id", F.lit(n).alias("n")))

@@ -127,3 +127,12 @@ def test_multisets_are_counted_once(spark):
     df = spark.createDataFrame(rows, "o int, v int, f string, s string")
     got = Counter((r.owner, r.value, r.l, r.r) for r in multiset.sides(df, "o", "v", F.col("f") == "R", F.col("s") == "O").collect())
     assert got == Counter([(1, 5, 2, 1), (1, 6, 0, 1), (None, 5, 1, 0), (None, 5, 0, 1), (1, None, 1, 0), (1, None, 0, 1), (2, 8, 0, 1)])
+
+
+def test_chains_are_never_broadcast(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(metrics, "stage", lambda df, f=metrics.stage: seen.append(plan(df)) or f(df))
+    symbols = spark.range(1, 6).select(F.col("id").alias("symbol_id"))
+    refs = symbols.select(F.col("symbol_id").alias("source_symbol_id"), (F.col("symbol_id") % 5 + 1).alias("target_id"), F.lit("extends").alias("kind"))
+    assert {r.dit for r in metrics.depth_of_inheritance(symbols, refs, ["extends"]).collect()} == {5}
+    assert any("Join" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
