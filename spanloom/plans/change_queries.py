@@ -33,11 +33,13 @@ def concrete_over_alias(g):
     """Suppliers of a nation stand for candidates; those with a high balance are concrete and push the others out.
 
     All suppliers of a nation have the same candidates, so these are chosen a nation, before they are paired, and no
-    window over the pairs is needed. Pairs are as many as the result's rows; a nation's are made in parts."""
+    window over the pairs is needed. Pairs are as many as the result's rows; a nation's are made in parts, in as many
+    tasks as there are partitions: by the size of the few rows that are paired, one task would make them all."""
     s = g.table("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     chosen = linkage.prefer_once(s, "s_nationkey", F.col("s_acctbal") > 5000).select(F.col("s_suppkey").alias("candidate"), "s_nationkey", F.explode(F.expr("sequence(0, 31)")).alias("part"))
     rows = s.select(F.col("s_suppkey").alias("ref"), "s_nationkey", F.pmod(F.hash("s_suppkey"), F.lit(32)).alias("part"))
-    return rows.join(chosen, ["s_nationkey", "part"]).select("ref", "candidate")
+    tasks = int(g.spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "s_nationkey", "part").join(chosen.hint("merge"), ["s_nationkey", "part"]).select("ref", "candidate")
 
 
 @add("""SELECT l_orderkey, bool_or(p = 'allowed') AS any_allowed, bool_or(p = 'blocked') AS any_blocked, bool_or(p = 'unknown') AS any_unknown,
