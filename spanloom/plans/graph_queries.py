@@ -66,12 +66,13 @@ SELECT symbol_id, coalesce(uses, 0) AS uses, coalesce(files, 0) AS files, coales
 FROM sym LEFT JOIN a ON symbol_id = a.target_id LEFT JOIN d ON symbol_id = d.target_id WHERE kind = 'part'""")
 def usage_summary(g):
     """A target's uses are brought together once and sorted by each column in turn: a value counts where its run starts.
-    Hashed distinct counts would hold every use three times over, with all columns, on either side of the exchange."""
+    Hashed distinct counts would hold every use three times over, with all columns, on either side of the exchange. The number of partitions is kept: three sorts of partitions put together would not be small."""
     s = g.symbols.select(F.col("symbol_id").alias("source_symbol_id"), "parent_id", graph.cut(F.col("identity"), 2).alias("prefix"))
-    used = g.refs.filter("status = 'resolved' and kind = 'uses_type'").join(s, "source_symbol_id")
-    a = used.groupBy("target_id").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("source_id").alias("files"), F.count_distinct("parent_id").alias("contexts"), F.count_distinct("prefix").alias("prefixes"))
-    d = used.groupBy("target_id", "prefix").count().groupBy("target_id").agg(F.max("count").alias("dominant"))
-    rows = g.symbols.filter("kind = 'part'").select(F.col("symbol_id"), F.col("symbol_id").alias("target_id")).join(a, "target_id", "left").join(d, "target_id", "left").na.fill(0)
+    used = g.refs.filter("status = 'resolved' and kind = 'uses_type'").select("source_symbol_id", "target_id", "source_id").join(s, "source_symbol_id").drop("source_symbol_id").repartition(int(g.spark.conf.get("spark.sql.shuffle.partitions")), "target_id")
+    used = used.withColumns({f"_{c}": F.expr(f"row_number() over (partition by target_id, {c} order by {c})") for c in ("source_id", "parent_id", "prefix")})
+    values = lambda c: F.count_if((F.col(f"_{c}") == 1) & F.col(c).isNotNull())
+    a = used.groupBy("target_id").agg(F.count(F.lit(1)).alias("uses"), values("source_id").alias("files"), values("parent_id").alias("contexts"), values("prefix").alias("prefixes"), F.max("_prefix").cast("long").alias("dominant"))
+    rows = g.symbols.filter("kind = 'part'").select(F.col("symbol_id"), F.col("symbol_id").alias("target_id")).join(a, "target_id", "left").na.fill(0)
     signal = graph.shared_signal(F.col("files"), F.col("contexts"), F.col("prefixes"), F.col("uses"), F.col("dominant"))
     return rows.select("symbol_id", "uses", "files", "contexts", "prefixes", signal.alias("signal"))
 

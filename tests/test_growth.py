@@ -102,7 +102,7 @@ def test_edges_are_staged_once_for_a_corridor(spark, monkeypatch):
 
 def test_candidates_are_chosen_before_they_are_paired(spark, tmp_path):
     df = built(spark, "concrete_over_alias")
-    assert "Window" not in plan(df)
+    assert "Window" not in plan(df) and df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = spark.createDataFrame([(1, 9.0), (1, 1.0), (1, None), (2, 1.0), (2, 2.0), (2, None), (3, None), (None, 9.0)], "k int, x double")
     assert sorted((r.k, r.x) for r in linkage.prefer_once(rows, "k", F.col("x") > 5).collect()) == [(1, 9.0), (2, 1.0), (2, 2.0)]
 
@@ -136,3 +136,7 @@ def test_chains_are_never_broadcast(spark, monkeypatch):
     refs = symbols.select(F.col("symbol_id").alias("source_symbol_id"), (F.col("symbol_id") % 5 + 1).alias("target_id"), F.lit("extends").alias("kind"))
     assert {r.dit for r in metrics.depth_of_inheritance(symbols, refs, ["extends"]).collect()} == {5}
     assert any("Join" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
+
+
+def test_uses_are_not_expanded(spark):
+    assert "Expand" not in plan(built(spark, "usage_summary"))
